@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stored
@@ -126,7 +126,7 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int | None:
     """Word edit distance of a and b if it is at most `most`, else None.
 
     Banded alignment: on the diagonals within `most` of the main one, the furthest reach for 0, 1, 2, ... edits. Beyond
-    64 edits a banded row-by-row table takes over, whose cost does not grow with the square of the edits.
+    12 edits bit vectors over the band take over, whose cost does not grow with the square of the edits.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -142,6 +142,8 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int | None:
     if not a or not b:
         d = max(len(a), len(b))
         return d if d <= most else None
+    if len(a) < len(b):
+        a, b = b, a
     ids: dict[str, int] = {}
     x = [ids.setdefault(w, len(ids)) for w in a]
     y = [ids.setdefault(w, len(ids)) for w in b]
@@ -152,7 +154,7 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int | None:
     reach = {0: _slide(x, y, 0, 0)}
     if reach[0] == n == m:
         return 0
-    for e in range(1, min(most, 64) + 1):
+    for e in range(1, min(most, 12) + 1):
         new = {}
         for k in range(max(-e, -n), min(e, m) + 1):  # k = j - i
             i = max(reach.get(k, -2) + 1, reach.get(k + 1, -2) + 1, reach.get(k - 1, -2))
@@ -163,7 +165,7 @@ def edit_distance(a: list[str], b: list[str], most: int) -> int | None:
             if i == n and i + k == m:
                 return e
         reach = new
-    return _banded(np.array(x), np.array(y), most) if most > 64 else None
+    return _banded(x, y, min(most, n)) if most > 12 else None
 
 
 def _slide(x: list[int], y: list[int], i: int, j: int) -> int:
@@ -174,32 +176,45 @@ def _slide(x: list[int], y: list[int], i: int, j: int) -> int:
     return i
 
 
-def _banded(x: np.ndarray, y: np.ndarray, most: int) -> int | None:
-    """Edit distance on the band |i - j| <= t, with t doubled until it proves the distance or passes `most`."""
-    t = 128
+def _banded(x: list[int], y: list[int], most: int) -> int | None:
+    """Edit distance on the band |i - j| <= t, with t grown until it proves the distance or reaches `most`."""
+    held: dict[int, int] = {}
+    for i, w in enumerate(x):
+        held[w] = held.get(w, 0) | 1 << i
+    t = max(64, abs(len(x) - len(y)))
     while True:
         t = min(t, most)
-        far = len(x) + len(y) + 1
-        off = np.arange(-t, t + 1)
-        row = np.where((off >= 0) & (off <= len(y)), off, far)
-        pad = np.r_[np.full(t, -1), y, np.full(t + len(x) + 1, -1)]
-        for i in range(1, len(x) + 1):
-            j = i + off
-            here = np.minimum(row + (pad[i - 1 : i + 2 * t] != x[i - 1]), np.r_[row[1:], far] + 1)
-            here[j < 0] = far
-            here[j > len(y)] = far
-            if i <= t:
-                here[t - i] = i
-            row = np.minimum.accumulate(here - off) + off
-            if row.min() > t:
-                break
+        d = _band(held, len(x), y, t)
+        if d is not None or t == most:
+            return d
+        t *= 4
+
+
+def _band(held: dict[int, int], n: int, y: list[int], t: int) -> int | None:
+    """The distance if it is at most t, from the band's columns as bit vectors of vertical differences.
+
+    Bit b of a column j stands for row j - t + b; held[w] has bit i - 1 for every row i whose word is w. Rows up to 0 count as equal
+    to row 0, so their differences are 0. The distance is followed down the band's lower edge to row n, then along it.
+    """
+    m = len(y)
+    mask, edge = (1 << 2 * t + 1) - 1, 1 << 2 * t
+    rise, fall, d = mask ^ ((1 << t) - 1), 0, t
+    for j in range(1, m + 1):
+        s = j - t - 1
+        p = held.get(y[j - 1], 0)
+        same = (p >> s if s >= 0 else p << -s) & mask
+        diag = ((((same & rise) + rise) ^ rise) | same | fall) & mask  # rows that a diagonal step reaches free
+        up, down = fall | (mask ^ (diag | rise)), diag & rise
+        if j + t <= n:
+            d += not diag & edge
         else:
-            d = int(row[len(y) - len(x) + t]) if abs(len(y) - len(x)) <= t else far
-            if d <= t:
-                return d
-        if t == most:
-            return None
-        t *= 2
+            b = n - j + t
+            d += (up >> b & 1) - (down >> b & 1)
+            if d - (m - j) > t:
+                return None
+        low = diag >> 1
+        rise, fall = down | (mask ^ (low | up)), low & up
+    return d if d <= t else None
 
 
 def similarity(a: list[str], b: list[str], least: float = SIMILARITY) -> float | None:
@@ -233,12 +248,58 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """rows (key, doc, n) of keys that several documents share, with the least of them as leader."""
-    heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.max("doc").alias("top")).where("lead.doc < top")
-    met = rows.join(heads, "key").where("doc <> lead.doc")
+    """rows (key, doc, n) of keys that several documents share, with the least of them as leader.
+
+    Where rows have a column `open`, only keys with an open row count.
+    """
+    counts = F.max("open") if "open" in rows.columns else F.lit(True)
+    heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.max("doc").alias("top"), counts.alias("any"))
+    met = rows.join(heads.where("any and lead.doc < top"), "key").where("doc <> lead.doc")
     return met.select("key", "doc", "n", F.col("lead.doc").alias("leader"), F.col("lead.n").alias("ln"))
 
 
+def _meet_many(rows: DataFrame, leaders: int) -> DataFrame:
+    """As _meet, with the `leaders` least documents of each key as leaders of the greater ones; `led`: the row is a leader itself.
+
+    Leaders are found among those of 32 salted parts of a key, so no key is sorted as a whole.
+    """
+    salt = F.pmod(F.xxhash64("doc"), F.lit(32))
+    part = rows.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc"))).where(F.col("i") <= leaders)
+    lead = part.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("doc"))).where(F.col("i") <= leaders)
+    last = lead.groupBy("key").agg(F.max("doc").alias("last"))
+    lead = lead.join(last, "key").select("key", F.col("doc").alias("leader"), F.col("n").alias("ln"), "last")
+    met = rows.join(lead, "key").where("leader < doc")
+    return met.select("key", "doc", "n", "leader", "ln", (F.col("doc") <= F.col("last")).alias("led"))
+
+
+_TOKEN_SCHEMA = "doc long, tokens array<long>"
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            words = WORD.findall(text.lower())
+            out.append(labelled(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))).view(np.int64))
+        yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
+
+
+def _rare_words(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(doc, token): the n - ceil(least x n) + 1 rarest of each text's n occurrence-labelled words.
+
+    Texts whose edit similarity is `least` or more share that share of words, hence one of these (prefix filtering), whatever the
+    order; rare ones first keeps passages that many texts share out of it. docs: doc, distinct and stored.
+    """
+    held = texts.join(maybe_broadcast(docs.select(F.col("doc").alias("id"))), "id", "left_semi")
+    held = stored(held.mapInArrow(_tokens, _TOKEN_SCHEMA), "omh-tokens")
+    each = held.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    common = stored(each.groupBy("token").count().where("count > 8"), "omh-common")
+    each = each.join(maybe_broadcast(common), "token", "left")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("count", F.lit(0)), "token"))
+    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("doc", "token")
+
+
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """pairs (leader, doc), distinct and stored, with their similarity (null: under least)."""
     ids = pairs.select(F.col("doc").alias("id")).unionByName(pairs.select(F.col("leader").alias("id"))).distinct()
@@ -261,21 +322,34 @@ def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     aligned = spark.createDataFrame([], "leader long, doc long, sim double")
     level = 0
     while True:
-        met = stored(_meet(rows), "omh-met")
+        met = stored(_meet(rows).withColumn("led", F.lit(False)) if level < 2 else _meet_many(rows, 32), "omh-met")
         pairs = met.where(F.least("n", "ln") >= least * F.greatest("n", "ln") - 1e-9).select("leader", "doc").distinct()
         if level:
             pairs = pairs.join(aligned, ["leader", "doc"], "left_anti")
         pairs = stored(pairs, "omh-pairs")
         if pairs.limit(1).count():
             aligned = aligned.unionByName(_aligned(pairs, texts, least))
-        left = met.join(aligned.where("sim is not null"), ["leader", "doc"], "left_anti").select("key", "doc", "n")
+        # what no leader took, and is none itself, goes on
+        good = aligned.where("sim is not null").select("leader", "doc", F.lit(True).alias("good"))
+        left = met.where("not led").join(good, ["leader", "doc"], "left").groupBy("key", "doc").agg(F.min("n").alias("n"), F.max("good").alias("good"))
+        left = left.where("good is null").select("key", "doc", "n")
         if level == 0:
-            # under pairs of keys only texts meet that share more than one passage's k-mers
-            left = left.join(reps.select("doc", "keys"), "doc").select("doc", "n", F.col("key").alias("k1"), F.explode("keys").alias("k2")).where("k1 <> k2")
-            left = left.select("doc", "n", F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key")).distinct()
+            left = stored(left, "omh-left")
+            if not left.limit(1).count():
+                return _links(aligned)
+            # all documents of the buckets in which one was turned down meet again under their rare words
+            keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
+            open_ = left.select("key", "doc", F.lit(True).alias("open"))
+            again = stored(rows.join(keys, "key", "left_semi").join(open_, ["key", "doc"], "left"), "omh-again")
+            rare = _rare_words(stored(again.select("doc").distinct(), "omh-docs"), texts, least)
+            left = again.join(rare, "doc").select("doc", "n", F.coalesce("open", F.lit(False)).alias("open"), F.xxhash64("key", "token").alias("key"))
         rows, level = stored(left, "omh-left"), level + 1
         if not rows.limit(1).count():
-            return aligned.where("sim is not null").select(F.col("leader").alias("a"), F.col("doc").alias("b"), "sim")
+            return _links(aligned)
+
+
+def _links(aligned: DataFrame) -> DataFrame:
+    return aligned.where("sim is not null").select(F.col("leader").alias("a"), F.col("doc").alias("b"), "sim")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
