@@ -3,9 +3,10 @@
 Texts are lower-cased word sequences (runs of word characters). A k-mer is five words, labelled with its
 occurrence number. For each of `SKETCHES` hash functions the `PICK` least labelled k-mers are kept in text order; their
 hash is a bucket key, so two texts share a key only if the same k-mers come in the same order. Exact copies (equal
-texts) are one class first. In every bucket each document is aligned with the bucket's least id; documents that this
-alignment turns down meet again under pairs of keys, and then under ever new leaders until none is left over. So a
-bucket of n documents costs n links a round, never n x n, and no document leaves a bucket without being either linked or compared.
+texts) are one class first. In every bucket each document is aligned with the bucket's least id. Where that leaves documents of
+different classes in a bucket, its documents meet again under their rarest words: as many as any two texts of
+the wanted similarity must share one of. There each is aligned with up to 32 leaders of other classes, and what none took with 64 new
+ones, and so on until none is left over; no document leaves a bucket without being in its leader's class or compared.
 Two texts are linked if 1 - distance / longer length >= `SIMILARITY`, where distance is the word edit distance.
 
 Cases: null text counts as ''; equal texts are copies, empty ones too; texts of one to `K + PICK - 2` words have all
@@ -248,28 +249,27 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _meet(rows: DataFrame) -> DataFrame:
-    """rows (key, doc, n) of keys that several documents share, with the least of them as leader.
-
-    Where rows have a column `open`, only keys with an open row count.
-    """
-    counts = F.max("open") if "open" in rows.columns else F.lit(True)
-    heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.max("doc").alias("top"), counts.alias("any"))
-    met = rows.join(heads.where("any and lead.doc < top"), "key").where("doc <> lead.doc")
+    """rows (key, doc, n) of keys that several documents share, with the least of them as leader."""
+    heads = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("lead"), F.max("doc").alias("top"))
+    met = rows.join(heads.where("lead.doc < top"), "key").where("doc <> lead.doc")
     return met.select("key", "doc", "n", F.col("lead.doc").alias("leader"), F.col("lead.n").alias("ln"))
 
 
 def _meet_many(rows: DataFrame, leaders: int) -> DataFrame:
-    """As _meet, with the `leaders` least documents of each key as leaders of the greater ones; `led`: the row is a leader itself.
+    """rows (key, doc, n, root, open) with `to`: those of the `leaders` least documents of the key that are less than doc, as an array of doc, n, root.
 
-    Leaders are found among those of 32 salted parts of a key, so no key is sorted as a whole.
+    `led`: the row is among these leaders itself. Keys without an open row, or with rows of one class only, are left out. Leaders are found
+    among those of 32 salted parts of a key, so no key is sorted as a whole; a row stays one row however many leaders it meets.
     """
     salt = F.pmod(F.xxhash64("doc"), F.lit(32))
     part = rows.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc"))).where(F.col("i") <= leaders)
     lead = part.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("doc"))).where(F.col("i") <= leaders)
-    last = lead.groupBy("key").agg(F.max("doc").alias("last"))
-    lead = lead.join(last, "key").select("key", F.col("doc").alias("leader"), F.col("n").alias("ln"), "last")
-    met = rows.join(lead, "key").where("leader < doc")
-    return met.select("key", "doc", "n", "leader", "ln", (F.col("doc") <= F.col("last")).alias("led"))
+    lead = lead.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "root")).alias("lead"))
+    keys = rows.groupBy("key").agg(F.bool_or("open").alias("any"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("any and r0 < r1")
+    met = rows.join(lead.join(keys.select("key"), "key"), "key")
+    to = F.filter("lead", lambda x: x["doc"] < F.col("doc"))
+    led = F.exists("lead", lambda x: x["doc"] == F.col("doc"))
+    return met.select("key", "doc", "n", "root", to.alias("to"), led.alias("led")).where(F.size("to") > 0)
 
 
 _TOKEN_SCHEMA = "doc long, tokens array<long>"
@@ -286,18 +286,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_words(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(doc, token): the n - ceil(least x n) + 1 rarest of each text's n occurrence-labelled words.
+    """docs (doc, n, ...; distinct and stored), a row for each of the n - ceil(least x n) + 1 rarest occurrence-labelled words, as `key`.
 
     Texts whose edit similarity is `least` or more share that share of words, hence one of these (prefix filtering), whatever the
-    order; rare ones first keeps passages that many texts share out of it. docs: doc, distinct and stored.
+    order; rare ones first keeps passages that many texts share out of it.
     """
     held = texts.join(maybe_broadcast(docs.select(F.col("doc").alias("id"))), "id", "left_semi")
     held = stored(held.mapInArrow(_tokens, _TOKEN_SCHEMA), "omh-tokens")
-    each = held.select("doc", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    common = stored(each.groupBy("token").count().where("count > 8"), "omh-common")
-    each = each.join(maybe_broadcast(common), "token", "left")
-    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("count", F.lit(0)), "token"))
-    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("doc", "token")
+    each = held.select("doc", F.explode("tokens").alias("key"))
+    common = stored(each.groupBy("key").count().where("count > 8"), "omh-common")
+    each = held.join(docs, "doc").select(*docs.columns, F.explode("tokens").alias("key")).join(maybe_broadcast(common), "key", "left")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("count", F.lit(0)), "key"))
+    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(*docs.columns, "key")
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -312,40 +312,51 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, sim) between representatives of exact copies. sk: sketches(docs)."""
+    """Verified links (a, b, sim) between representatives of exact copies, enough to join each class. sk: sketches(docs)."""
     spark = sk.sparkSession
     reps = sk.where("n_words > 0").groupBy("copy").agg(F.min(F.struct("doc_id", "n_words", "keys")).alias("r"))
     reps = stored(reps.select(F.col("r.doc_id").alias("doc"), F.col("r.n_words").alias("n"), "r.keys"), "omh-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.where("id is not null")
     rows = reps.select("doc", "n", F.explode("keys").alias("key"))
-    aligned = spark.createDataFrame([], "leader long, doc long, sim double")
-    level = 0
-    while True:
-        met = stored(_meet(rows).withColumn("led", F.lit(False)) if level < 2 else _meet_many(rows, 32), "omh-met")
-        pairs = met.where(F.least("n", "ln") >= least * F.greatest("n", "ln") - 1e-9).select("leader", "doc").distinct()
-        if level:
-            pairs = pairs.join(aligned, ["leader", "doc"], "left_anti")
-        pairs = stored(pairs, "omh-pairs")
+    fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+    met = stored(_meet(rows), "omh-met")
+    pairs = stored(met.where(fits(F.col("n"), F.col("ln"))).select("leader", "doc").distinct(), "omh-pairs")
+    aligned = _aligned(pairs, texts, least)
+    # classes so far; later meetings find few links, so these serve for all of them
+    roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
+    left = stored(_apart(met, roots, "leader", "doc").select("key", "doc"), "omh-left")
+    if not left.limit(1).count():
+        return _links(aligned)
+    # all documents of the buckets in which the leader turned one down meet again, under their rare words
+    keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
+    open_ = left.select("doc").distinct().withColumn("open", F.lit(True))
+    again = rows.join(keys, "key", "left_semi").select("doc", "n").distinct().join(open_, "doc", "left")
+    again = again.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+    again = stored(again.select("doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("open", F.lit(False)).alias("open")), "omh-again")
+    rows = stored(_rare_words(again, texts, least), "omh-rare")
+    leaders = 32
+    while rows.limit(1).count():
+        met = stored(_meet_many(rows, leaders), "omh-met")
+        asked = F.transform(F.filter("to", lambda x: (x["root"] != F.col("root")) & fits(F.col("n"), x["n"])), lambda x: x["doc"])
+        pairs = met.select("doc", asked.alias("to")).where(F.size("to") > 0).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+        pairs = stored(pairs.select(F.explode("to").alias("leader"), "doc").join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
         if pairs.limit(1).count():
             aligned = aligned.unionByName(_aligned(pairs, texts, least))
-        # what no leader took, and is none itself, goes on
-        good = aligned.where("sim is not null").select("leader", "doc", F.lit(True).alias("good"))
-        left = met.where("not led").join(good, ["leader", "doc"], "left").groupBy("key", "doc").agg(F.min("n").alias("n"), F.max("good").alias("good"))
-        left = left.where("good is null").select("key", "doc", "n")
-        if level == 0:
-            left = stored(left, "omh-left")
-            if not left.limit(1).count():
-                return _links(aligned)
-            # all documents of the buckets in which one was turned down meet again under their rare words
-            keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
-            open_ = left.select("key", "doc", F.lit(True).alias("open"))
-            again = stored(rows.join(keys, "key", "left_semi").join(open_, ["key", "doc"], "left"), "omh-again")
-            rare = _rare_words(stored(again.select("doc").distinct(), "omh-docs"), texts, least)
-            left = again.join(rare, "doc").select("doc", "n", F.coalesce("open", F.lit(False)).alias("open"), F.xxhash64("key", "token").alias("key"))
-        rows, level = stored(left, "omh-left"), level + 1
-        if not rows.limit(1).count():
-            return _links(aligned)
+        # what no leader took, is in no leader's class and is none itself, goes on
+        good = _links(aligned).groupBy(F.col("b").alias("doc")).agg(F.collect_set("a").alias("good"))
+        met = met.where(~F.col("led") & ~F.exists("to", lambda x: x["root"] == F.col("root"))).join(good, "doc", "left")
+        taken = F.coalesce(F.arrays_overlap("good", F.transform("to", lambda x: x["doc"])), F.lit(False))
+        rows = stored(met.where(~taken).select("key", "doc", "n", "root", F.lit(True).alias("open")), "omh-rows")
+        leaders *= 2
+    return _links(aligned)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs whose ends are in different classes. roots: node, root of every node with a link."""
+    of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))
+    both = pairs.join(of(a, "_ra"), a, "left").join(of(b, "_rb"), b, "left")
+    return both.where(F.coalesce("_ra", a) != F.coalesce("_rb", b)).drop("_ra", "_rb")
 
 
 def _links(aligned: DataFrame) -> DataFrame:
