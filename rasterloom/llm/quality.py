@@ -83,10 +83,12 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, rounds: int = 300, rate: float = 1.0, l1: float = 1.0, seen: int = 3) -> Model:
+def fit(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, order: np.ndarray, n_grades: int = GRADES, rounds: int = 300, rate: float = 1.0, l1: float = 1.0, seen: int = 3) -> Model:
     """Proximal Adagrad on the mean negative log-likelihood; buckets of fewer than `seen` rows get no weight.
 
+    flat: the rows' buckets one after the other (int32); sizes: buckets a row; order: the order in which rows are summed.
     The L1 penalty of a bucket is l1 x its noise, sqrt(rows that have it) / rows. The second half of the rounds refits the buckets that the penalty left, without it, so that it shrinks none of them.
+    Beyond flat itself, memory goes with the buckets that enter the fit: the rest is counted a block of rows at a time.
     """
     size = 1 << BITS
     w = np.zeros(size)
@@ -95,15 +97,28 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, roun
     t = np.log(below / (1 - below))
     if len(np.unique(grades)) < 2:
         return Model(w.astype(np.float32), t)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=size)
+    ends, step = np.r_[0, np.cumsum(sizes)], 500
+    df, total = np.zeros(size, np.int64), np.zeros(size)
+    for i in range(0, len(sizes), step):
+        part = flat[ends[i] : ends[min(i + step, len(sizes))]]
+        df += np.bincount(part, minlength=size)
+        total += np.bincount(part, weights=np.repeat(grades[i : i + step], sizes[i : i + step]), minlength=size)
     # only buckets whose mean grade is off by more than noise would take it enter the fit
-    off = np.abs(np.bincount(flat, weights=(grades - grades.mean())[owner], minlength=size)) / np.sqrt(np.maximum(df, 1)) / grades.std()
-    enters = ((off >= 3) & (df >= seen))[flat]
-    flat, owner = flat[enters], owner[enters]
+    off = np.abs(total - df * grades.mean()) / np.sqrt(np.maximum(df, 1)) / grades.std()
+    enters = (off >= 3) & (df >= seen)
+    place = np.empty(len(sizes), np.int32)
+    place[order] = np.arange(len(sizes), dtype=np.int32)
+    parts = []
+    for i in range(0, len(sizes), step):
+        part = flat[ends[i] : ends[min(i + step, len(sizes))]]
+        use = enters[part]
+        parts.append((part[use], np.repeat(place[i : i + step], sizes[i : i + step])[use]))
+    flat, owner = (np.concatenate(p) for p in zip(*parts))
+    del parts
+    by_row = np.argsort(owner, kind="stable")
+    flat, owner, grades = flat[by_row], owner[by_row], grades[order]
     names, flat = np.unique(flat, return_inverse=True)
-    v, n = np.zeros(len(names)), len(rows)
+    v, n = np.zeros(len(names)), len(sizes)
     gv, gt = np.full(len(v), 1e-8), np.full(len(t), 1e-8)
     penalty = l1 * np.sqrt(df[names]) / n
     low, high = grades > 0, grades < n_grades - 1
@@ -153,11 +168,14 @@ def _buckets(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    got = training_rows(docs, labels, most, id_col, text_col).toArrow()
-    rows = [np.asarray(x, np.int64) for x in got.column("buckets").to_numpy(zero_copy_only=False)] if got.num_rows else []
+    got = training_rows(docs, labels, most, id_col, text_col).withColumn("h", F.xxhash64("buckets")).toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit(*(np.empty(0, np.int32),) * 2, np.empty(0, np.int64), np.empty(0, np.int64))
+    buckets = got.column("buckets").chunk(0)
+    grades, sizes = got.column("grade").to_numpy().astype(np.int64), np.diff(buckets.offsets.to_numpy())
     # in a fixed order: sums of floats depend on it
-    keyed = sorted(zip(rows, got.column("grade").to_pylist()), key=lambda x: (x[1], len(x[0]), x[0].tobytes()))
-    return fit([r for r, _ in keyed], np.array([g for _, g in keyed], np.int64))
+    order = np.lexsort((got.column("h").to_numpy(), sizes, grades))
+    return fit(buckets.flatten().to_numpy(), sizes, grades, order)
 
 
 def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
