@@ -30,6 +30,8 @@ from .common import maybe_broadcast, stored
 from .components import components
 
 K, PICK, SKETCHES, SIMILARITY = 5, 3, 32, 0.8
+#: Bits of a word's hash that name the slot it is counted in.
+SLOT_BITS = 18
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -285,19 +287,48 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
 
 
+def _slot(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per task and slot: how many tokens of the task fall into it."""
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_slot(batch.column("tokens").flatten().to_numpy()), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+
+def _rarest(held, least: float):
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for batch in batches:
+            out = []
+            for x in batch.column("tokens").to_numpy(zero_copy_only=False):
+                x = np.asarray(x, np.int64)
+                most = len(x) - int(np.ceil(len(x) * least - 1e-9)) + 1
+                x = x[np.lexsort((x, counts[_slot(x)]))[:most]]
+                out.append(x[counts[_slot(x)] > 1])  # a word that stands once meets nobody
+            yield pa.record_batch([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
+
+    return rarest
+
+
 def _rare_words(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """docs (doc, n, ...; distinct and stored), a row for each of the n - ceil(least x n) + 1 rarest occurrence-labelled words, as `key`.
 
     Texts whose edit similarity is `least` or more share that share of words, hence one of these (prefix filtering), whatever the
-    order; rare ones first keeps passages that many texts share out of it.
+    order; rare ones first keeps passages that many texts share out of it. Since any order will do, words are counted by
+    hash slot, in a table of fixed size (2**SLOT_BITS numbers) that every task gets.
     """
     held = texts.join(maybe_broadcast(docs.select(F.col("doc").alias("id"))), "id", "left_semi")
     held = stored(held.mapInArrow(_tokens, _TOKEN_SCHEMA), "omh-tokens")
-    each = held.select("doc", F.explode("tokens").alias("key"))
-    common = stored(each.groupBy("key").count().where("count > 8"), "omh-common")
-    each = held.join(docs, "doc").select(*docs.columns, F.explode("tokens").alias("key")).join(maybe_broadcast(common), "key", "left")
-    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("count", F.lit(0)), "key"))
-    return each.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select(*docs.columns, "key")
+    got = held.select("tokens").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    rare = held.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(counts), least), _TOKEN_SCHEMA)
+    return docs.join(rare, "doc").select(*docs.columns, F.explode("tokens").alias("key"))
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
