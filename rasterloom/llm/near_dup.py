@@ -1,16 +1,17 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment of words.
 
-Texts are lower-cased word sequences (runs of word characters). A k-mer is five words, labelled with its
+Texts are lower-cased word sequences (runs of word characters). A k-mer is four words, labelled with its
 occurrence number. For each of `SKETCHES` hash functions the `PICK` least labelled k-mers are kept in text order; their
 hash is a bucket key, so two texts share a key only if the same k-mers come in the same order. Exact copies (equal
 texts) are one class first. In every bucket each document is aligned with the bucket's least id. Where that leaves documents of
-different classes in a bucket, its documents meet again under their rarest words: as many as any two texts of
+different classes in a bucket, its documents meet again under their rarest words, and so do all texts of up to `SHORT` words,
+of whose k-mers too few may survive the edits: as many as any two texts of
 the wanted similarity must share one of. There each is aligned with up to 32 leaders of other classes, and what none took with 64 new
 ones, and so on until none is left over; no document leaves a bucket without being in its leader's class or compared.
 Two texts are linked if 1 - distance / longer length >= `SIMILARITY`, where distance is the word edit distance.
 
 Cases: null text counts as ''; equal texts are copies, empty ones too; texts of one to `K + PICK - 2` words have all
-k-mers they hold (the whole text if shorter than five words) as their key; texts with no word link to equal texts only; rows
+k-mers they hold (the whole text if shorter than four words) as their key; texts with no word link to equal texts only; rows
 with null id get class null; rows with one id and different texts are joined in one class; an empty table gives no rows.
 """
 
@@ -29,14 +30,16 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast, stored
 from .components import components
 
-K, PICK, SKETCHES, SIMILARITY = 5, 3, 32, 0.8
+K, PICK, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
+#: Texts of up to so many words all meet under their rarest words, so that no pair of them is missed.
+SHORT = 100
 #: Bits of a word's hash that name the slot it is counted in.
 SLOT_BITS = 18
 WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, SKETCHES, dtype=np.uint64) | np.uint64(1)
-#: Columns of a sketch block, so that one very long text needs no more than 32 x this many hashes at once.
+#: Columns of a sketch block, so that one very long text needs no more than 64 x this many hashes at once.
 _BLOCK = 1 << 14
 
 
@@ -357,12 +360,11 @@ def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     # classes so far; later meetings find few links, so these serve for all of them
     roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
     left = stored(_apart(met, roots, "leader", "doc").select("key", "doc"), "omh-left")
-    if not left.limit(1).count():
-        return _links(aligned)
-    # all documents of the buckets in which the leader turned one down meet again, under their rare words
+    # all documents of the buckets in which the leader turned one down meet again, under their rare words, and all short texts
     keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
-    open_ = left.select("doc").distinct().withColumn("open", F.lit(True))
-    again = rows.join(keys, "key", "left_semi").select("doc", "n").distinct().join(open_, "doc", "left")
+    short = reps.where(F.col("n") <= SHORT).select("doc", "n")
+    open_ = left.select("doc").unionByName(short.select("doc")).distinct().withColumn("open", F.lit(True))
+    again = rows.join(keys, "key", "left_semi").select("doc", "n").unionByName(short).distinct().join(open_, "doc", "left")
     again = again.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
     again = stored(again.select("doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("open", F.lit(False)).alias("open")), "omh-again")
     rows = stored(_rare_words(again, texts, least), "omh-rare")

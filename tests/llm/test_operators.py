@@ -316,6 +316,34 @@ def test_near_duplicate_cases(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "3", "5", "6", "7", "None"])
 
 
+def scattered(rng, words, n):
+    """words with n of them replaced, at places all over the text."""
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = prose(rng, 1) + "z"
+    return words
+
+
+def test_short_texts_and_scattered_edits(spark):
+    """Pairs of 5 to 15 words with a middle word changed, and of 200 words at 0.8 to 0.95, against all-pairs alignment."""
+    rng = random.Random(17)
+    rows, pairs = [], []
+    for n in [5, 6, 7, 9, 11, 12, 13, 15] * 5:
+        a = prose(rng, n).split()
+        pairs.append((a, [*a[: n // 2], "changed", *a[n // 2 + 1 :]]))
+    for n in (16, 30, 60, 100):
+        pairs += [(a, scattered(rng, a, n // 5)) for a in (prose(rng, n).split() for _ in range(5))]
+    exact = len(pairs)
+    for sim in (0.8, 0.85, 0.9, 0.95):
+        pairs += [(a, scattered(rng, a, round(200 * (1 - sim)))) for a in (prose(rng, 200).split() for _ in range(10))]
+    for k, (a, b) in enumerate(pairs):
+        assert distance(a, b) <= 0.2 * len(a)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = dict(classes_of(spark, rows))
+    found = [got[2 * k] == got[2 * k + 1] == 2 * k for k in range(len(pairs))]
+    assert all(found[:exact]) and sum(found[exact:]) >= 0.9 * (len(pairs) - exact)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5), (None, 3)]
