@@ -6,8 +6,9 @@ hash is a bucket key, so two texts share a key only if the same k-mers come in t
 texts) are one class first. In every bucket each document is aligned with the bucket's least id. Where that leaves documents of
 different classes in a bucket, its documents meet again under their rarest words, and so do all texts of up to `SHORT` words,
 of whose k-mers too few may survive the edits: as many as any two texts of
-the wanted similarity must share one of. There each is aligned with up to 32 leaders of other classes, and what none took with 64 new
-ones, and so on until none is left over; no document leaves a bucket without being in its leader's class or compared.
+the wanted similarity must share one of. There each is aligned with up to 4 leaders of other classes, which joins large groups; then each
+that a leader turned down is aligned with every document of another class that shares enough of these words (`COMMON`) and whose length allows the
+similarity, whether a leader took that one or not. So two texts of one bucket end in different classes only if no chain of links joins them.
 Two texts are linked if 1 - distance / longer length >= `SIMILARITY`, where distance is the word edit distance.
 
 Cases: null text counts as ''; equal texts are copies, empty ones too; texts of one to `K + PICK - 2` words have all
@@ -33,6 +34,12 @@ from .components import components
 K, PICK, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
 #: Texts of up to so many words all meet under their rarest words, so that no pair of them is missed.
 SHORT = 100
+#: Documents of a rare word that all others of it meet first.
+LEADERS = 4
+#: A pair has to share a rare word for every COMMON words of the shorter text (1 to MOST_COMMON) to be aligned; as many more are taken of each.
+COMMON, MOST_COMMON = 12, 24
+#: Documents of a rare word that meet in one part of a join.
+BLOCK = 512
 #: Bits of a word's hash that name the slot it is counted in.
 SLOT_BITS = 18
 WORD = re.compile(r"\w+")
@@ -263,7 +270,7 @@ def _meet(rows: DataFrame) -> DataFrame:
 def _meet_many(rows: DataFrame, leaders: int) -> DataFrame:
     """rows (key, doc, n, root, open) with `to`: those of the `leaders` least documents of the key that are less than doc, as an array of doc, n, root.
 
-    `led`: the row is among these leaders itself. Keys without an open row, or with rows of one class only, are left out. Leaders are found
+    Keys without an open row, or with rows of one class only, are left out. Leaders are found
     among those of 32 salted parts of a key, so no key is sorted as a whole; a row stays one row however many leaders it meets.
     """
     salt = F.pmod(F.xxhash64("doc"), F.lit(32))
@@ -273,8 +280,30 @@ def _meet_many(rows: DataFrame, leaders: int) -> DataFrame:
     keys = rows.groupBy("key").agg(F.bool_or("open").alias("any"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("any and r0 < r1")
     met = rows.join(lead.join(keys.select("key"), "key"), "key")
     to = F.filter("lead", lambda x: x["doc"] < F.col("doc"))
-    led = F.exists("lead", lambda x: x["doc"] == F.col("doc"))
-    return met.select("key", "doc", "n", "root", to.alias("to"), led.alias("led")).where(F.size("to") > 0)
+    return met.select("doc", "n", "root", to.alias("to")).where(F.size("to") > 0)
+
+
+def _meet_all(rows: DataFrame, least: float) -> DataFrame:
+    """All pairs (leader, doc) of different classes under one key, at least one of them open, that may have the similarity. rows: key, doc, n, root, open.
+
+    Every pair has a document outside the key's largest class, so a large class is not met with itself; the other side
+    is dealt in parts of about BLOCK documents.
+    """
+    sides = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.bool_or("open").alias("any"))
+    keys = sides.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("big"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.bool_or("any").alias("any"))
+    keys = keys.where("k > 1 and any").select("key", "big", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    held = stored(rows.join(keys, "key"), "omh-all")
+    x = held.where("root <> big").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
+    y = held.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).alias("y")
+    on = F.expr(f"""x.key = y.key and x.part = y.part and x.root <> y.root and (y.root = y.big or y.doc < x.doc) and (x.open or y.open)
+        and least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9""")
+    return _sharing(x.join(y, on).select(F.least("x.doc", "y.doc").alias("leader"), F.greatest("x.doc", "y.doc").alias("doc"), F.least("x.n", "y.n").alias("n")))
+
+
+def _sharing(pairs: DataFrame) -> DataFrame:
+    """Pairs (leader, doc) of pairs (leader, doc, n of the shorter), one row a shared rare word, that share enough of them."""
+    pairs = pairs.groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    return pairs.where(F.col("c") >= F.greatest(F.lit(1), F.least(F.lit(MOST_COMMON), F.floor(F.col("n") / COMMON)))).select("leader", "doc")
 
 
 _TOKEN_SCHEMA = "doc long, tokens array<long>"
@@ -310,7 +339,7 @@ def _rarest(held, least: float):
             out = []
             for x in batch.column("tokens").to_numpy(zero_copy_only=False):
                 x = np.asarray(x, np.int64)
-                most = len(x) - int(np.ceil(len(x) * least - 1e-9)) + 1
+                most = len(x) - int(np.ceil(len(x) * least - 1e-9)) + min(max(len(x) // COMMON, 1), MOST_COMMON)
                 x = x[np.lexsort((x, counts[_slot(x)]))[:most]]
                 out.append(x[counts[_slot(x)] > 1])  # a word that stands once meets nobody
             yield pa.record_batch([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
@@ -319,9 +348,9 @@ def _rarest(held, least: float):
 
 
 def _rare_words(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """docs (doc, n, ...; distinct and stored), a row for each of the n - ceil(least x n) + 1 rarest occurrence-labelled words, as `key`.
+    """docs (doc, n, ...; distinct and stored), a row for each of the n - ceil(least x n) + c rarest occurrence-labelled words, as `key`.
 
-    Texts whose edit similarity is `least` or more share that share of words, hence one of these (prefix filtering), whatever the
+    Texts whose edit similarity is `least` or more share that share of words, hence c of these (prefix filtering; c = n / COMMON, 1 to MOST_COMMON), whatever the
     order; rare ones first keeps passages that many texts share out of it. Since any order will do, words are counted by
     hash slot, in a table of fixed size (2**SLOT_BITS numbers) that every task gets.
     """
@@ -357,7 +386,6 @@ def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     met = stored(_meet(rows), "omh-met")
     pairs = stored(met.where(fits(F.col("n"), F.col("ln"))).select("leader", "doc").distinct(), "omh-pairs")
     aligned = _aligned(pairs, texts, least)
-    # classes so far; later meetings find few links, so these serve for all of them
     roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
     left = stored(_apart(met, roots, "leader", "doc").select("key", "doc"), "omh-left")
     # all documents of the buckets in which the leader turned one down meet again, under their rare words, and all short texts
@@ -365,26 +393,30 @@ def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     short = reps.where(F.col("n") <= SHORT).select("doc", "n")
     open_ = left.select("doc").unionByName(short.select("doc")).distinct().withColumn("open", F.lit(True))
     again = rows.join(keys, "key", "left_semi").select("doc", "n").unionByName(short).distinct().join(open_, "doc", "left")
-    again = again.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    again = stored(again.select("doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("open", F.lit(False)).alias("open")), "omh-again")
-    rows = stored(_rare_words(again, texts, least), "omh-rare")
-    leaders = 32
-    while rows.limit(1).count():
-        met = stored(_meet_many(rows, leaders), "omh-met")
-        asked = F.transform(F.filter("to", lambda x: (x["root"] != F.col("root")) & fits(F.col("n"), x["n"])), lambda x: x["doc"])
-        pairs = met.select("doc", asked.alias("to")).where(F.size("to") > 0).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
-        pairs = stored(pairs.select(F.explode("to").alias("leader"), "doc").join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
-        if pairs.limit(1).count():
-            aligned = aligned.unionByName(_aligned(pairs, texts, least))
-        # what no leader took, is in no leader's class and is none itself, goes on
-        good = _links(aligned).groupBy(F.col("b").alias("doc")).agg(F.collect_set("a").alias("good"))
-        met = met.where(~F.col("led") & ~F.exists("to", lambda x: x["root"] == F.col("root"))).join(good, "doc", "left")
-        taken = F.coalesce(F.arrays_overlap("good", F.transform("to", lambda x: x["doc"])), F.lit(False))
-        rows = stored(met.where(~taken).select("key", "doc", "n", "root", F.lit(True).alias("open")), "omh-rows")
-        leaders *= 2
+    again = stored(again.select("doc", "n", F.coalesce("open", F.lit(False)).alias("open")), "omh-again")
+    slim = stored(_rare_words(again, texts, least), "omh-rare")
+    rows = _rooted(slim, roots)
+    met = stored(_meet_many(rows, LEADERS), "omh-met")
+    asked = F.transform(F.filter("to", lambda x: (x["root"] != F.col("root")) & fits(F.col("n"), x["n"])), lambda x: F.struct(x["doc"].alias("leader"), F.least(F.col("n"), x["n"]).alias("n")))
+    pairs = _sharing(met.select("doc", F.explode(asked).alias("to")).select("to.leader", "doc", "to.n"))
+    pairs = stored(pairs.join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
+    if pairs.limit(1).count():
+        more = _aligned(pairs, texts, least)
+        aligned = aligned.unionByName(more)
+        if more.where("sim is not null").limit(1).count():
+            roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
+            rows = _rooted(slim, roots)
+    pairs = stored(_meet_all(rows, least).join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
+    if pairs.limit(1).count():
+        aligned = aligned.unionByName(_aligned(pairs, texts, least))
     return _links(aligned)
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (doc, ...) with the root of doc's class: doc itself if it has no link."""
+    return rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     """pairs whose ends are in different classes. roots: node, root of every node with a link."""
     of = lambda c, name: roots.select(F.col("node").alias(c), F.col("root").alias(name))

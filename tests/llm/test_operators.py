@@ -344,6 +344,49 @@ def test_short_texts_and_scattered_edits(spark):
     assert all(found[:exact]) and sum(found[exact:]) >= 0.9 * (len(pairs) - exact)
 
 
+def test_drifting_chains_in_one_bucket(spark):
+    """Chains of copies, each edited from the one before, that all share a passage: classes equal the components of all pairs."""
+    rng = random.Random(19)
+    texts, passage = [], prose(rng, 60).split()
+    for _ in range(8):
+        own = prose(rng, 60).split()
+        for _ in range(40):
+            texts.append(passage + own)
+            own = scattered(rng, own, 14)
+    ids = rng.sample(range(1000), len(texts))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dup.similarity(texts[i], texts[j]) is not None:
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert dict(classes_of(spark, [(d, " ".join(t)) for d, t in zip(ids, texts)])) == {d: least[find(i)] for i, d in enumerate(ids)}
+
+
+def test_a_taken_document_still_meets_the_others(spark):
+    """Leader ~ D and D ~ E but leader not ~ E, with D and E behind 40 other documents of their only common rare word."""
+    rng = random.Random(23)
+    common, rows, want = prose(rng, 20).split(), [], {}
+    for g in range(8):
+        base = prose(rng, 80).split()
+        e = [f"{w}x{g}" if i % 5 == 0 else w for i, w in enumerate(base)]
+        own = {0: base + common, 60: base, 61: e} | {k: rng.sample(base, 80) for k in range(1, 41)}
+        rows += [(g * 100 + k, " ".join(w)) for k, w in own.items()]
+        want |= {g * 100 + k: g * 100 if k in (60, 61) else g * 100 + k for k in own}
+    for i in range(2000, 2060):  # make the leader's further words frequent
+        rows.append((i, " ".join(rng.sample(common, 20) + prose(rng, 40).split())))
+        want[i] = i
+    assert dict(classes_of(spark, rows)) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(5, 5), (None, 3)]
