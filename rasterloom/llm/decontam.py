@@ -6,12 +6,13 @@ after a number. Windows of WINDOW template tokens of every document are hash-joi
 document and an item on one alignment (document position - item position) count together: the item is found if at least
 NEED of its windows hit there (all, if it has fewer: runs of WINDOW + NEED - 1 = 13 tokens) and the slots agree, i.e. each
 value of a benchmark slot stands for one document value and back. So `3 apples ... 3` is caught as `7 apples ... 7`, not as `7 ... 9`.
+Windows of under LEAST plain tokens say nothing as templates: they are joined by their literal tokens, so verbatim copies are found.
 
 Before the join a bitmap of fixed size over the benchmark's window hashes (2**FILTER_BITS bits, whatever the benchmark's
 size) thins the documents' windows where they are made; it has no false negatives, and the join is exact.
 
-Cases: null text is empty; items of under LEAST tokens never match; items of LEAST to WINDOW - 1 tokens match as one window of
-their own length; benchmark windows of under LEAST plain tokens are left out, since numbers and names alone say nothing;
+Cases: null text is empty; items of no token never match; items of 1 to WINDOW - 1 tokens match as one window of
+their own length (literally, if it has under LEAST plain tokens: a one-word item is found in every document with that word);
 null doc_id is reported as null; repeated rows of an id count once; an empty benchmark or table gives no rows.
 """
 
@@ -42,6 +43,8 @@ _CAP, _END, _NUM, _UNIT = (np.uint64(1 << i) for i in range(4))
 _FLAGS = np.uint64(15)
 _SLOT = {kind: np.uint64(xxhash.xxh64_intdigest(kind)) & ~_FLAGS for kind in ("<num>", "<name>", "<unit>")}
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Sets hashes of literal windows apart from those of templates.
+_LITERAL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Tokens(dict):
@@ -100,7 +103,19 @@ def windows(t: np.ndarray, size: int) -> np.ndarray:
     return _mix(h)
 
 
-_WINDOWS = "item_id long, ipos int, h long, bslots array<long>, total int"
+def window_keys(t: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of all windows of `size` tokens, and which of them are literal: those of under LEAST plain tokens."""
+    h = windows(t, size)
+    if not len(h):
+        return h, np.empty(0, bool)
+    plain = np.cumsum(np.r_[0, slots == 0])
+    literal = plain[size:] - plain[:-size] < LEAST
+    if literal.any():
+        h = np.where(literal, _mix(windows(np.where(slots != 0, slots, t), size) + _LITERAL), h)
+    return h, literal
+
+
+_WINDOWS = "item_id long, ipos int, h long, bslots array<long>, literal boolean, total int, templates int"
 
 
 def _bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,14 +124,15 @@ def _bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
             t, slots = template(text, tokens)
-            if len(t) < LEAST:
+            if not len(t):
                 continue
             size = min(WINDOW, len(t))
-            found = [(item, i, int(h), [int(v) for v in slots[i : i + size].view(np.int64)]) for i, h in enumerate(windows(t, size).view(np.int64)) if (slots[i : i + size] == 0).sum() >= LEAST]
-            rows += [(*r, len(found)) for r in found]
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "ipos", "h", "bslots", "total"])
+            h, literal = window_keys(t, slots, size)
+            templates = int((~literal).sum())
+            rows += [(item, i, int(k), slots[i : i + size].view(np.int64).tolist(), bool(literal[i]), len(h), templates) for i, k in enumerate(h.view(np.int64))]
+        cols = list(zip(*rows)) or [[]] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.int32()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "ipos", "h", "bslots", "literal", "total", "templates"])
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -142,7 +158,7 @@ def _scan(held, sizes: list[int]):
             for row, text in enumerate(batch.column("text").to_pylist()):
                 t, s = template(text, tokens)
                 for size in sizes:
-                    h = windows(t, size)
+                    h, _ = window_keys(t, s, size)
                     if not len(h):
                         continue
                     top = h >> np.uint64(64 - FILTER_BITS)
@@ -164,19 +180,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, item_id, n_windows (item windows found on the best alignment), share of the item's windows, verbatim (no slot differs)."""
     spark = docs.sparkSession
     bench = benchmark_windows(benchmark)
-    sizes = sorted(r[0] for r in bench.select(F.size("bslots")).distinct().collect())  # LEAST to WINDOW: four at most
+    sizes = sorted(r[0] for r in bench.select(F.size("bslots")).distinct().collect())  # 1 to WINDOW
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     held = spark.sparkContext.broadcast(_bitmap(bench))
     hits = slim.mapInArrow(_scan(held, sizes), "doc_id long, pos int, h long, dslots array<long>")
     both = hits.join(maybe_broadcast(bench), "h").where(F.size("dslots") == F.size("bslots"))
-    both = both.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "total", F.filter(F.arrays_zip("bslots", "dslots"), lambda s: s["bslots"] != 0).alias("s"))
+    both = both.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "literal", "total", "templates", F.filter(F.arrays_zip("bslots", "dslots"), lambda s: s["bslots"] != 0).alias("s"))
     # what is grouped is at most an item's windows
     by = both.groupBy("doc_id", "item_id", "diag").agg(
-        F.count_distinct("ipos").alias("n"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("s")
+        F.count_distinct("ipos").alias("n"), F.count_distinct(F.when(~F.col("literal"), F.col("ipos"))).alias("nt"),
+        F.max("total").alias("total"), F.max("templates").alias("templates"), F.array_distinct(F.flatten(F.collect_set("s"))).alias("s")
     )
     agree = (F.size("s") == F.size(F.array_distinct(F.transform("s", lambda x: x["bslots"])))) & (F.size("s") == F.size(F.array_distinct(F.transform("s", lambda x: x["dslots"]))))
     same = F.forall("s", lambda x: x["bslots"] == x["dslots"])
-    by = by.where(agree & (F.col("n") >= F.least(F.lit(NEED), F.col("total"))))
+    # literal windows can make up for templates, but their lack in a copy with other values takes nothing away
+    enough = (F.col("n") >= F.least(F.lit(NEED), F.col("total"))) | ((F.col("templates") > 0) & (F.col("nt") >= F.least(F.lit(NEED), F.col("templates"))))
+    by = by.where(agree & enough)
     best = by.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", same.alias("same"), "total")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").cast("long").alias("n_windows"), (F.col("b.n") / F.col("b.total")).alias("share"), F.col("b.same").alias("verbatim"))
 

@@ -103,6 +103,14 @@ def test_short_items_and_names(spark):
     assert got == {(1, 1): True, (2, 2): False}
 
 
+def test_items_poor_in_plain_tokens_are_found_verbatim(spark):
+    rng = random.Random(29)
+    items = [(1, "Compute 12 + 30 - 7 + 44 and 5 times 9 and then 3 + 8 minus 2"), (2, "What is 7 times 8"), (3, "Zorbu kwax flim")]
+    docs = [(i, f"{prose(rng, 20)} {t} {prose(rng, 20)}") for i, t in items]
+    docs += [(12, f"{prose(rng, 20)} What is 7 times 9 {prose(rng, 20)}"), (13, f"{prose(rng, 20)} zorbu kwax {prose(rng, 20)}")]
+    assert find_leaks(spark, docs, items) == {(i, i): True for i, _ in items}
+
+
 def test_leaks_equal_brute_force(spark):
     """Against windows and alignments in plain Python, on the driver's tables."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
