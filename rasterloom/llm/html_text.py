@@ -4,7 +4,8 @@ Each page is read once into blocks of text, each with the hashes of the element
 whole text). Spark counts a subtree's pages per host; subtrees on at least MIN_PAGES pages and SHARE of a host's pages are
 template and their blocks are deleted. What markup itself names (menus, page headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, comments) goes while reading. Of a page with <article> or <main> (or an element so named by role, class or id) only
-those hold the text, and subtrees inside them are no template however often they recur: sites do repeat whole articles.
+those hold the text, and subtrees inside them (not these elements themselves) are counted too: pages of one host whose main texts are equal
+count once, since sites do repeat whole articles, and a box that stands in different articles is template.
 
 Cases: null or empty html gives an empty text; unclosed and stray tags are taken as browsers do in the main (a closing tag
 closes up to its opening one, a block closes an open <p>); an unclosed comment or script runs to the end; pages with null url share
@@ -77,7 +78,7 @@ class _Page:
 
     def __init__(self) -> None:
         self.blocks: list[tuple[str, bool, list[int]]] = []  # text, inside main, subtrees around it
-        self.subtrees: list[tuple[str, bool]] = []  # hashed head of each block element, inside main
+        self.subtrees: list[tuple[str, bool]] = []  # hashed head of each block element, holds the main text itself
         self.text: list[str] = []
         self.open: list[tuple[str, bool, bool, int]] = []  # tag, dropped, main, subtree number or -1
 
@@ -108,7 +109,7 @@ class _Page:
         number = -1
         if tag in _BLOCK and tag not in ("html", "body"):
             number = len(self.subtrees)
-            self.subtrees.append((tag + names, main or holds))
+            self.subtrees.append((tag + names, holds))
         self.open.append((tag, dropped or drops, main or holds and not dropped, number))
 
     def end(self, tag: str, within: frozenset = frozenset()) -> None:
@@ -123,8 +124,12 @@ class _Page:
                 return
 
 
-def read_page(text: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
-    """Kept blocks (text, inside main, subtree numbers) and the hash of every subtree number (0: no template candidate)."""
+def _hash(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def read_page(text: str) -> tuple[list[tuple[str, bool, list[int]]], list[int], int | None]:
+    """Kept blocks (text, inside main, subtree numbers), the hash of every subtree number (0: no template candidate) and that of the main text, if marked."""
     page, at, n = _Page(), 0, len(text)
     while at < n:
         m = _TOKEN.search(text, at)
@@ -150,30 +155,31 @@ def read_page(text: str) -> tuple[list[tuple[str, bool, list[int]]], list[int]]:
     for words, _, around in page.blocks:
         for s in around:
             said[s].append(words)
-    hashes = []
-    for (head, main), words in zip(page.subtrees, said):
-        whole = "\x1f".join([head, *words])
-        hashes.append(int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if words and not main else 0)
+    hashes = [_hash([head, *words]) if words and not main else 0 for (head, main), words in zip(page.subtrees, said)]
+    body = None
     if any(main for _, main, _ in page.blocks):
         page.blocks = [b for b in page.blocks if b[1]]
-    return page.blocks, hashes
+        body = _hash([b[0] for b in page.blocks])
+    return page.blocks, hashes, body
 
 
-_BLOCKS = "row long, page_id long, url string, host string, texts array<string>, around array<array<long>>, subtrees array<long>"
+_BLOCKS = "row long, page_id long, url string, host string, texts array<string>, around array<array<long>>, subtrees array<long>, body long"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, around, subtrees = [], [], []
+        texts, around, subtrees, bodies = [], [], [], []
         for source in batch.column("html").to_pylist():
-            blocks, hashes = read_page(source) if source else ([], [])
+            blocks, hashes, body = read_page(source) if source else ([], [], None)
             texts.append([b[0] for b in blocks])
             around.append([[hashes[s] for s in b[2] if hashes[s]] for b in blocks])
-            subtrees.append(sorted({h for h in hashes if h}))
+            inside = {hashes[s] for b in blocks for s in b[2]}
+            subtrees.append(sorted(inside - {0}))
+            bodies.append(body)
         longs = pa.list_(pa.int64())
         yield pa.record_batch(
-            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(around, pa.list_(longs)), pa.array(subtrees, longs)],
-            names=["row", "page_id", "url", "host", "texts", "around", "subtrees"],
+            [*(batch.column(c) for c in ("row", "page_id", "url", "host")), pa.array(texts, pa.list_(pa.string())), pa.array(around, pa.list_(longs)), pa.array(subtrees, longs), pa.array(bodies, pa.int64())],
+            names=["row", "page_id", "url", "host", "texts", "around", "subtrees", "body"],
         )
 
 
@@ -187,9 +193,10 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
         F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url")).alias("host"), F.col("html")
     )
     read = stored(slim.mapInArrow(_read, _BLOCKS), "page-blocks")
-    sites = read.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    seen = read.select("row", "host", F.explode("subtrees").alias("subtree"))
-    counts = seen.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    page = F.coalesce(F.col("body"), F.col("row")).alias("page")
+    sites = read.select("host", page).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    seen = read.select("row", "host", page, F.explode("subtrees").alias("subtree"))
+    counts = seen.select("host", "subtree", "page").distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     template = stored(counts.join(sites, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree"), "page-template")
     gone = seen.join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
     out = read.join(gone, "row", "left")

@@ -183,6 +183,17 @@ def test_templates_and_markup_go(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_recurring_boxes_inside_articles_go_and_repeated_articles_stay(spark):
+    rng = random.Random(31)
+    said = {i: prose(rng, 30) for i in range(10)}
+    rows = [page(i, f"<article><h1>h{i}</h1><div class=box><p>Get our letter each week</p></div><p>{s}</p></article>") for i, s in said.items()]
+    rows += [(100 + i, f"https://again.test/{i}", "<article><h1>same</h1><p>one article on many pages</p></article>") for i in range(9)]
+    rows += [(200 + i, f"https://again.test/x{i}", f"<article><p>{prose(rng, 9)}</p></article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in said} == {i: f"h{i} {s}" for i, s in said.items()}
+    assert {got[100 + i] for i in range(9)} == {"same one article on many pages"} and all(got[200 + i] for i in range(9))
+
+
 # ---------------------------------------------------------------- 5 sharding
 def brute_shards(sizes, limit):
     bits = {k: format(int(hashlib.md5(k.encode()).hexdigest()[:15], 16), "060b") for k, _ in sizes}
