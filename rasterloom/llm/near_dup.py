@@ -3,12 +3,15 @@
 Texts are lower-cased word sequences (runs of word characters). A k-mer is four words, labelled with its
 occurrence number. For each of `SKETCHES` hash functions the `PICK` least labelled k-mers are kept in text order; their
 hash is a bucket key, so two texts share a key only if the same k-mers come in the same order. Exact copies (equal
-texts) are one class first. In every bucket each document is aligned with the bucket's least id. Where that leaves documents of
-different classes in a bucket, its documents meet again under their rarest words, and so do all texts of up to `SHORT` words,
-of whose k-mers too few may survive the edits: as many as any two texts of
-the wanted similarity must share one of. There each is aligned with up to 4 leaders of other classes, which joins large groups; then each
-that a leader turned down is aligned with every document of another class that shares enough of these words (`COMMON`) and whose length allows the
-similarity, whether a leader took that one or not. So two texts of one bucket end in different classes only if no chain of links joins them.
+texts) are one class first. In every bucket each document is aligned with the bucket's least id, which joins the usual groups.
+
+What that leaves open, documents of buckets whose leader turned one down and all texts of up to `SHORT` words (of whose k-mers too few
+may survive the edits), is settled exactly, without listing a bucket's pairs. Texts of the wanted similarity share a known number of
+word pairs, so each puts up only its rarest ones, as many as such texts must share one of (prefix filtering):
+  - under a word pair of at most `FEW` texts all of them meet, so a row meets a bounded number of others;
+  - texts with a word pair of more texts first meet `LEADERS` leaders of it, which joins large groups; then those of different classes meet
+    under their rarest single words, if their lengths and a bitmap of their words (`BITMAP` bits) allow the similarity.
+So two texts that share a bucket, or are short, end in different classes only if no chain of links joins them.
 Two texts are linked if 1 - distance / longer length >= `SIMILARITY`, where distance is the word edit distance.
 
 Cases: null text counts as ''; equal texts are copies, empty ones too; texts of one to `K + PICK - 2` words have all
@@ -34,11 +37,13 @@ from .components import components
 K, PICK, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
 #: Texts of up to so many words all meet under their rarest words, so that no pair of them is missed.
 SHORT = 100
-#: Documents of a rare word that all others of it meet first.
-LEADERS = 4
-#: A pair has to share a rare word for every COMMON words of the shorter text (1 to MOST_COMMON) to be aligned; as many more are taken of each.
-COMMON, MOST_COMMON = 12, 24
-#: Documents of a rare word that meet in one part of a join.
+#: Word pairs of at most so many open texts let all of them meet; texts with one of more texts meet under single words.
+FEW = 64
+#: Documents of a frequent word pair that all others of it meet first.
+LEADERS, LEADER_ROUNDS = 4, 2
+#: Bits of the bitmap of a text's words.
+BITMAP = 2048
+#: Documents of a word that meet in one part of a join.
 BLOCK = 512
 #: Bits of a word's hash that name the slot it is counted in.
 SLOT_BITS = 18
@@ -65,10 +70,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def kmer_hashes(words: list[str], hashes: _WordHashes) -> np.ndarray:
+def kmer_hashes(words: list[str], hashes: _WordHashes, k: int = K) -> np.ndarray:
     """Hashes of the k-mers of words, in order; one for the whole text if it is shorter."""
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    k = min(K, len(w))
+    k = min(k, len(w))
     n = len(w) - k + 1
     h = np.full(n, k, np.uint64)
     for j in range(k):
@@ -267,56 +272,89 @@ def _meet(rows: DataFrame) -> DataFrame:
     return met.select("key", "doc", "n", F.col("lead.doc").alias("leader"), F.col("lead.n").alias("ln"))
 
 
-def _meet_many(rows: DataFrame, leaders: int) -> DataFrame:
-    """rows (key, doc, n, root, open) with `to`: those of the `leaders` least documents of the key that are less than doc, as an array of doc, n, root.
+def shared_least(n: int, q: int, least: float) -> int:
+    """Runs of q words that a text of n words shares at least (copies counted) with any text of similarity `least` or more.
 
-    Keys without an open row, or with rows of one class only, are left out. Leaders are found
-    among those of 32 salted parts of a key, so no key is sorted as a whole; a row stays one row however many leaders it meets.
+    An edit breaks at most q of the longer text's runs; the least over all longer lengths L is at L = n or where one more edit comes in.
     """
-    salt = F.pmod(F.xxhash64("doc"), F.lit(32))
-    part = rows.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc"))).where(F.col("i") <= leaders)
-    lead = part.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("doc"))).where(F.col("i") <= leaders)
-    lead = lead.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "root")).alias("lead"))
-    keys = rows.groupBy("key").agg(F.bool_or("open").alias("any"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("any and r0 < r1")
-    met = rows.join(lead.join(keys.select("key"), "key"), "key")
-    to = F.filter("lead", lambda x: x["doc"] < F.col("doc"))
-    return met.select("doc", "n", "root", to.alias("to")).where(F.size("to") > 0)
+    edits = lambda m: int((1 - least) * m + 1e-9)
+    most, e = int(n / least + 1e-9), edits(n)
+    more = min(max(n, int(np.ceil((e + 1) / (1 - least) - 1e-9))) if least < 1 else n, most)
+    return max(1, min(m - q + 1 - q * edits(m) for m in (n, more, most)))
+
+
+def _meet_leaders(rows: DataFrame, leaders: int, least: float, turn: int) -> DataFrame:
+    """Distinct pairs (leader, doc) of different classes: each of rows (key, doc, n, root) with `leaders` documents of its key, other ones each turn.
+
+    Leaders are found among those of 32 salted parts of a key, so no key is sorted as a whole.
+    """
+    salt, order = F.pmod(F.xxhash64("doc"), F.lit(32)), (F.xxhash64("doc", F.lit(turn)), "doc")
+    part = rows.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("i") <= leaders)
+    lead = part.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("i") <= leaders)
+    lead = maybe_broadcast(stored(lead.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "root")).alias("lead")), "omh-leaders"))
+    fits = lambda x: F.least(F.col("n"), x["n"]) >= least * F.greatest(F.col("n"), x["n"]) - 1e-9
+    to = F.filter("lead", lambda x: (x["root"] != F.col("root")) & fits(x))
+    met = rows.join(lead, "key").select("doc", F.explode(to).alias("to"))
+    return met.select(F.least("to.doc", "doc").alias("leader"), F.greatest("to.doc", "doc").alias("doc")).distinct()
+
+
+_FITS = "least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9"
+
+
+def _meet_few(rows: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (leader, doc) of different classes under one key. rows: key, doc, n, root, with at most FEW rows a key."""
+    on = F.expr("x.key = y.key and x.doc < y.doc and x.root <> y.root and " + _FITS.format(least=least))
+    return rows.alias("x").join(rows.alias("y"), on).select(F.col("x.doc").alias("leader"), F.col("y.doc").alias("doc")).distinct()
 
 
 def _meet_all(rows: DataFrame, least: float) -> DataFrame:
-    """All pairs (leader, doc) of different classes under one key, at least one of them open, that may have the similarity. rows: key, doc, n, root, open.
+    """Distinct pairs (leader, doc) of different classes under one key whose lengths and bitmaps allow the similarity. rows: key, doc, n, root, bits.
 
     Every pair has a document outside the key's largest class, so a large class is not met with itself; the other side
-    is dealt in parts of about BLOCK documents.
+    is dealt in parts of about BLOCK documents. Words without a partner cost one edit in the longer text at least, so a pair may differ in
+    2 x edits - (longer - shorter) words, and in no more bits.
     """
-    sides = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.bool_or("open").alias("any"))
-    keys = sides.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("big"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"), F.bool_or("any").alias("any"))
-    keys = keys.where("k > 1 and any").select("key", "big", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts"))
+    sides = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    keys = sides.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("big"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("k"))
+    keys = stored(keys.where("k > 1").select("key", "big", F.ceil(F.col("c") / BLOCK).cast("int").alias("parts")), "omh-keys")
     held = stored(rows.join(keys, "key"), "omh-all")
     x = held.where("root <> big").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("x")
     y = held.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).alias("y")
-    on = F.expr(f"""x.key = y.key and x.part = y.part and x.root <> y.root and (y.root = y.big or y.doc < x.doc) and (x.open or y.open)
-        and least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9""")
-    return _sharing(x.join(y, on).select(F.least("x.doc", "y.doc").alias("leader"), F.greatest("x.doc", "y.doc").alias("doc"), F.least("x.n", "y.n").alias("n")))
+    differ = " + ".join(f"bit_count(x.bits.b{i} ^ y.bits.b{i})" for i in range(BITMAP // 64))
+    on = F.expr(f"""x.key = y.key and x.part = y.part and x.root <> y.root and (y.root = y.big or y.doc < x.doc) and {_FITS.format(least=least)}
+        and {differ} <= 2 * floor({1 - least} * greatest(x.n, y.n) + 1e-9) - abs(x.n - y.n)""")
+    return x.join(y, on).select(F.least("x.doc", "y.doc").alias("leader"), F.greatest("x.doc", "y.doc").alias("doc")).distinct()
 
 
-def _sharing(pairs: DataFrame) -> DataFrame:
-    """Pairs (leader, doc) of pairs (leader, doc, n of the shorter), one row a shared rare word, that share enough of them."""
-    pairs = pairs.groupBy("leader", "doc").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-    return pairs.where(F.col("c") >= F.greatest(F.lit(1), F.least(F.lit(MOST_COMMON), F.floor(F.col("n") / COMMON)))).select("leader", "doc")
+_TOKEN_SCHEMA = "doc long, tokens array<long>"
 
 
-_TOKEN_SCHEMA = "doc long, tokens array<long>"
+def _runs(q: int):
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in batches:
+            out = [labelled(kmer_hashes(WORD.findall(text.lower()), hashes, q)).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
 
+    return runs
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            words = WORD.findall(text.lower())
-            out.append(labelled(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))).view(np.int64))
-        yield pa.record_batch([batch.column("id"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
+
+def _rare_pairs(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """docs (doc, n; distinct and stored), a row for each of the rarest word pairs that a text of the similarity must share one of; `key`, and `c`, the texts that put it up.
+
+    Pairs of one text alone meet nobody: they count as the rarest and are left out.
+    """
+    held = stored(texts.join(maybe_broadcast(docs.select(F.col("doc").alias("id"))), "id", "left_semi").mapInArrow(_runs(2), _TOKEN_SCHEMA), "omh-word-pairs")
+    rows = held.select("doc", F.explode("tokens").alias("key"))
+    often = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "omh-often")  # stored: skew can be split in the join
+    shared = rows.join(often, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("k"))  # at most a text's word pairs
+    fewest = F.udf(lambda n: shared_least(n, 2, least), "int")
+    sizes = docs.select("n").distinct().withColumn("must", fewest("n"))
+    # of a text's pairs all but must - 1 are put up, rarest first, those that stand alone before the others
+    put = F.greatest(F.lit(0), F.size("k") - F.col("must") + 1)
+    kept = docs.join(maybe_broadcast(stored(sizes, "omh-sizes")), "n").join(shared, "doc").select("doc", "n", F.explode(F.slice("k", F.lit(1), put)).alias("k")).select("doc", "n", "k.key")
+    kept = stored(kept, "omh-put-up")
+    return kept.join(stored(kept.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "omh-often"), "key")
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
@@ -332,35 +370,47 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["slot", "n"])
 
 
+_BITS = pa.struct([(f"b{i}", pa.int64()) for i in range(BITMAP // 64)])
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITMAP bits, as longs, with a bit set for each token."""
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[tokens.view(np.uint64) % np.uint64(BITMAP)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _rarest(held, least: float):
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            out = []
+            out, maps = [], []
             for x in batch.column("tokens").to_numpy(zero_copy_only=False):
                 x = np.asarray(x, np.int64)
-                most = len(x) - int(np.ceil(len(x) * least - 1e-9)) + min(max(len(x) // COMMON, 1), MOST_COMMON)
-                x = x[np.lexsort((x, counts[_slot(x)]))[:most]]
+                maps.append(bitmap(x))
+                x = x[np.lexsort((x, counts[_slot(x)]))[: len(x) - shared_least(len(x), 1, least) + 1]]
                 out.append(x[counts[_slot(x)] > 1])  # a word that stands once meets nobody
-            yield pa.record_batch([batch.column("doc"), pa.array(out, pa.list_(pa.int64()))], names=["doc", "tokens"])
+            table = np.array(maps, np.int64).reshape(len(maps), BITMAP // 64)
+            bits = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], fields=list(_BITS))
+            yield pa.record_batch([batch.column("doc"), pa.array(out, pa.list_(pa.int64())), bits], names=["doc", "tokens", "bits"])
 
     return rarest
 
 
 def _rare_words(docs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """docs (doc, n, ...; distinct and stored), a row for each of the n - ceil(least x n) + c rarest occurrence-labelled words, as `key`.
+    """docs (doc, n, ...; distinct and stored), a row for each of the rarest occurrence-labelled words that a text of the similarity must share one of, as `key`, with the text's `bits`.
 
-    Texts whose edit similarity is `least` or more share that share of words, hence c of these (prefix filtering; c = n / COMMON, 1 to MOST_COMMON), whatever the
-    order; rare ones first keeps passages that many texts share out of it. Since any order will do, words are counted by
-    hash slot, in a table of fixed size (2**SLOT_BITS numbers) that every task gets.
+    Any order will do for that, so words are counted by hash slot, in a table of fixed size (2**SLOT_BITS numbers) that every task gets;
+    rare ones first keeps passages that many texts share out of it.
     """
     held = texts.join(maybe_broadcast(docs.select(F.col("doc").alias("id"))), "id", "left_semi")
-    held = stored(held.mapInArrow(_tokens, _TOKEN_SCHEMA), "omh-tokens")
+    held = stored(held.mapInArrow(_runs(1), _TOKEN_SCHEMA), "omh-words")
     got = held.select("tokens").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    rare = held.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(counts), least), _TOKEN_SCHEMA)
-    return docs.join(rare, "doc").select(*docs.columns, F.explode("tokens").alias("key"))
+    schema = f"{_TOKEN_SCHEMA}, bits struct<{', '.join(f'{f.name}: bigint' for f in _BITS)}>"
+    rare = held.mapInArrow(_rarest(docs.sparkSession.sparkContext.broadcast(counts), least), schema)
+    return docs.join(rare, "doc").select(*docs.columns, "bits", F.explode("tokens").alias("key"))
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -388,30 +438,36 @@ def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str
     aligned = _aligned(pairs, texts, least)
     roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
     left = stored(_apart(met, roots, "leader", "doc").select("key", "doc"), "omh-left")
-    # all documents of the buckets in which the leader turned one down meet again, under their rare words, and all short texts
+    # all documents of the buckets in which the leader turned one down meet again, and all short texts
     keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
     short = reps.where(F.col("n") <= SHORT).select("doc", "n")
-    open_ = left.select("doc").unionByName(short.select("doc")).distinct().withColumn("open", F.lit(True))
-    again = rows.join(keys, "key", "left_semi").select("doc", "n").unionByName(short).distinct().join(open_, "doc", "left")
-    again = stored(again.select("doc", "n", F.coalesce("open", F.lit(False)).alias("open")), "omh-again")
-    slim = stored(_rare_words(again, texts, least), "omh-rare")
-    rows = _rooted(slim, roots)
-    met = stored(_meet_many(rows, LEADERS), "omh-met")
-    asked = F.transform(F.filter("to", lambda x: (x["root"] != F.col("root")) & fits(F.col("n"), x["n"])), lambda x: F.struct(x["doc"].alias("leader"), F.least(F.col("n"), x["n"]).alias("n")))
-    pairs = _sharing(met.select("doc", F.explode(asked).alias("to")).select("to.leader", "doc", "to.n"))
-    pairs = stored(pairs.join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
-    if pairs.limit(1).count():
-        more = _aligned(pairs, texts, least)
-        aligned = aligned.unionByName(more)
-        if more.where("sim is not null").limit(1).count():
-            roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
-            rows = _rooted(slim, roots)
-    pairs = stored(_meet_all(rows, least).join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
-    if pairs.limit(1).count():
-        aligned = aligned.unionByName(_aligned(pairs, texts, least))
+    again = stored(rows.join(keys, "key", "left_semi").select("doc", "n").unionByName(short).distinct(), "omh-again")
+    put = stored(_rare_pairs(again, texts, least), "omh-rare")
+    aligned, roots, _ = _more(aligned, roots, _meet_few(_rooted(put.where(F.col("c") <= FEW), roots), least), texts, least)
+    many = put.where(F.col("c") > FEW)
+    rest = stored(many.select("doc", "n").distinct(), "omh-rest")
+    if rest.limit(1).count():
+        for turn in range(LEADER_ROUNDS):
+            aligned, roots, joined = _more(aligned, roots, _meet_leaders(_rooted(many, roots), LEADERS, least, turn), texts, least)
+            if not joined:
+                break
+        words = stored(_rare_words(rest, texts, least), "omh-rare")
+        aligned, roots, _ = _more(aligned, roots, _meet_all(_rooted(words, roots), least), texts, least)
     return _links(aligned)
 
 
+def _more(aligned: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame, bool]:
+    """(aligned, roots, was anything joined) after the alignment of those pairs (leader, doc) that are not yet aligned."""
+    pairs = stored(pairs.join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
+    if not pairs.limit(1).count():
+        return aligned, roots, False
+    more = _aligned(pairs, texts, least)
+    aligned = aligned.unionByName(more)
+    if not more.where("sim is not null").limit(1).count():
+        return aligned, roots, False
+    return aligned, maybe_broadcast(stored(components(_links(aligned)), "omh-roots")), True
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (doc, ...) with the root of doc's class: doc itself if it has no link."""
     return rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
@@ -431,8 +487,9 @@ def _links(aligned: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id: one row per row of docs; class_id is the least id of the document's class."""
     sk = sketches(docs, id_col, text_col)
-    first = sk.groupBy("copy").agg(F.min("doc_id").alias("rep"))
-    member = sk.select("doc_id", "copy").join(first, "copy").select("doc_id", "rep")
+    # texts that stand once are their own class; a stored side lets skewed copies be split
+    first = sk.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("copy", "rep")
+    member = sk.select("doc_id", "copy").join(maybe_broadcast(stored(first, "omh-copies")), "copy", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     member = stored(member, "omh-members")
     near = links(sk, docs, id_col, text_col, least).select("a", "b")
     # an id that stands on rows of different texts ties those texts together
@@ -448,6 +505,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs with one document of each class: its least id. Rows with null id stay; rows that repeat an id count as one."""
     kept = stored(classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias("_nd_id")).distinct(), "omh-kept")
     out = docs.join(maybe_broadcast(kept), F.col(id_col) == F.col("_nd_id"), "left_semi")
-    if out.select(id_col).groupBy(id_col).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
+    again = stored(out.groupBy(F.col(id_col).alias("_nd_id")).count().where("count > 1").select("_nd_id"), "omh-repeated")
+    if again.limit(1).count():  # of rows with one id the least stays
+        same = maybe_broadcast(again)
+        held = F.struct(*docs.columns)
+        least_row = out.join(same, F.col(id_col) == F.col("_nd_id"), "left_semi").groupBy(F.col(id_col).alias("_nd_id")).agg(F.min_by(held, F.to_json(held)).alias("_nd_row"))
+        out = out.join(same, F.col(id_col) == F.col("_nd_id"), "left_anti").unionByName(least_row.select("_nd_row.*"))
     return out.unionByName(docs.where(F.col(id_col).isNull()))
