@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -194,6 +195,63 @@ def test_recurring_boxes_inside_articles_go_and_repeated_articles_stay(spark):
     assert {got[100 + i] for i in range(9)} == {"same one article on many pages"} and all(got[200 + i] for i in range(9))
 
 
+def only_text(html):
+    p = html_text.Page(html, html_text._Names())
+    return p.text([False] * len(p.parent))[0]
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<p title="the hidden truth">keep me</p>', "keep me"), ('<a onclick="hidden=1">link</a>', "link"), ('<p data-id="ad-1">keep</p>', "keep"),
+    ('<p data-style="display:none">keep</p>', "keep"), ('<div class="main-content no-sidebar"><p>b</p></div>', "b"), ('<div class="page has-comments">x</div>', "x"),
+    ('<div class="related-work">w</div>', "w"), ('<div class="site-footer">no</div><p hidden>no</p><div class=ad>no</div><i aria-hidden=true>no</i>yes', "yes"),
+    ('<article class="post tag-notice"><header class="entry-header"><h1>t</h1></header>c</article>out', "t c"), ("a < b &amp; c<b>d</b", "a < b & cd"), ("x<!-- y", "x"), ("x<p a='y", "x"),
+])
+def test_markup_is_read_by_whole_names(html, want):
+    assert only_text(html) == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>x", '<p a="', "<li><ul><b>", "<span hidden>x", "<p><table>", "<", "</", "<script>", "&lt;"])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        began = time.process_time()
+        html_text.Page(part * (n // len(part)), html_text._Names())
+        return time.process_time() - began
+
+    assert seconds(1 << 19) < 6 * seconds(1 << 17) + 0.5
+
+
+def test_hosts_without_semantic_markup(spark):
+    """Boxes known by nothing but their recurrence go, by either way of handing the template out; subtree counts equal a brute-force count."""
+    rng = random.Random(37)
+    boxes = [f"<div><ul><li>{prose(rng, 2)}</li><li>{prose(rng, 3)}</li></ul><span>{prose(rng, 4)}</span></div>" for _ in range(4)]
+    rows, want = [], {}
+    for i in range(40):
+        said = prose(rng, 20)
+        rows.append((i, f"http://Plain.test/{i}", f"<body>{boxes[i % 4]}<div><p>{said}</p><p>short</p></div>{boxes[(i + 1) % 4]}"))
+        want[i] = said
+    rows += [(100 + i, f"http://few.test/{i}", f"<div>{boxes[0]}</div><p>w{i}</p>") for i in range(3)]  # too few pages to tell
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1000, 0):
+        got = {r["page_id"]: r for r in html_text.main_text(df, most_keys=most).collect()}
+        assert {i: got[i]["text"] for i in want} == want and all(got[i]["n_template"] for i in want)
+        assert all(got[100 + i]["n_template"] == 0 and len(got[100 + i]["text"]) > 4 for i in range(3))
+    names, seen = html_text._Names(), {}
+    for _, url, source in rows:
+        host = re.match("http://([^/]*)", url)[1].lower()
+        p = html_text.Page(source, names, html_text._host_seed(host))
+        for key in set(html_text.subtree_keys(p).tolist()):
+            seen.setdefault((host, key), set()).add(tuple(b[0] for b in p.kept()))
+    pages = {h: len({tuple(b[0] for b in html_text.Page(s, names).kept()) for _, u, s in rows if h in u.lower()}) for h in ("plain.test", "few.test")}
+    brute = {k for (h, k), on in seen.items() if k and len(on) >= html_text.MIN_PAGES and len(on) >= (html_text.CERTAIN if k & 1 else html_text.SHARE) * pages[h]}
+    slim = df.select(html_text.host_of(F.col("url")).alias("host"), "html")
+    assert {r["key"] for r in html_text.template_keys(slim).collect()} == brute and brute
+
+
+def test_template_acts_on_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    assert html_text.main_text(pages).agg(F.sum("n_template")).first()[0] > 0
+
+
 # ---------------------------------------------------------------- 5 sharding
 def brute_shards(sizes, limit):
     bits = {k: format(int(hashlib.md5(k.encode()).hexdigest()[:15], 16), "060b") for k, _ in sizes}
