@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +19,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         keep = F.col("x") > F.col("n")
     else:
         near, keep = edges.select(F.col("u").alias("n"), F.col("v").alias("x")), F.lit(True)
-    least = near.groupBy("n").agg(F.least(F.min("x"), F.col("n")).alias("m"))
-    moved = near.join(least, "n").where(keep).select(F.col("x").alias("u"), F.col("m").alias("v"))
+    # stored: a node of very many links can be split in the join
+    least = stored(near.groupBy("n").agg(F.least(F.min("x"), F.col("n")).alias("m")), "cc-least")
+    moved = near.join(maybe_broadcast(least), "n").where(keep).select(F.col("x").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v")))
     return moved.where("u <> v").distinct()

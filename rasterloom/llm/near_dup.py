@@ -40,7 +40,7 @@ SHORT = 100
 #: Word pairs of at most so many open texts let all of them meet; texts with one of more texts meet under single words.
 FEW = 64
 #: Documents of a frequent word pair that all others of it meet first.
-LEADERS, LEADER_ROUNDS = 4, 2
+LEADERS = 4
 #: Bits of the bitmap of a text's words.
 BITMAP = 2048
 #: Documents of a word that meet in one part of a join.
@@ -283,12 +283,12 @@ def shared_least(n: int, q: int, least: float) -> int:
     return max(1, min(m - q + 1 - q * edits(m) for m in (n, more, most)))
 
 
-def _meet_leaders(rows: DataFrame, leaders: int, least: float, turn: int) -> DataFrame:
-    """Distinct pairs (leader, doc) of different classes: each of rows (key, doc, n, root) with `leaders` documents of its key, other ones each turn.
+def _meet_leaders(rows: DataFrame, leaders: int, least: float) -> DataFrame:
+    """Distinct pairs (leader, doc) of different classes: each of rows (key, doc, n, root) with `leaders` documents of its key, chosen by a hash.
 
     Leaders are found among those of 32 salted parts of a key, so no key is sorted as a whole.
     """
-    salt, order = F.pmod(F.xxhash64("doc"), F.lit(32)), (F.xxhash64("doc", F.lit(turn)), "doc")
+    salt, order = F.pmod(F.xxhash64("doc"), F.lit(32)), (F.xxhash64("doc", F.lit(1)), "doc")
     part = rows.withColumn("salt", salt).withColumn("i", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("i") <= leaders)
     lead = part.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("i") <= leaders)
     lead = maybe_broadcast(stored(lead.groupBy("key").agg(F.collect_list(F.struct("doc", "n", "root")).alias("lead")), "omh-leaders"))
@@ -424,53 +424,61 @@ def _aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return stored(both.select("leader", "doc", _verify(least)("a", "b").alias("sim")), "omh-aligned")
 
 
-def links(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b, sim) between representatives of exact copies, enough to join each class. sk: sketches(docs)."""
-    spark = sk.sparkSession
+def linked(sk: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """node, root of the classes that verified links make of the representatives of exact copies; those without a link are left out. sk: sketches(docs)."""
     reps = sk.where("n_words > 0").groupBy("copy").agg(F.min(F.struct("doc_id", "n_words", "keys")).alias("r"))
     reps = stored(reps.select(F.col("r.doc_id").alias("doc"), F.col("r.n_words").alias("n"), "r.keys"), "omh-reps")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.where("id is not null")
     rows = reps.select("doc", "n", F.explode("keys").alias("key"))
-    fits = lambda n, m: F.least(n, m) >= least * F.greatest(n, m) - 1e-9
     met = stored(_meet(rows), "omh-met")
-    pairs = stored(met.where(fits(F.col("n"), F.col("ln"))).select("leader", "doc").distinct(), "omh-pairs")
-    aligned = _aligned(pairs, texts, least)
-    roots = maybe_broadcast(stored(components(_links(aligned)), "omh-roots"))
-    left = stored(_apart(met, roots, "leader", "doc").select("key", "doc"), "omh-left")
+    fits = F.least("n", "ln") >= least * F.greatest("n", "ln") - 1e-9
+    aligned = _aligned(stored(met.where(fits).select("leader", "doc").distinct(), "omh-pairs"), texts, least)
+    roots = stored(components(_links(aligned)), "omh-roots")
+    left = stored(_apart(met, maybe_broadcast(roots), "leader", "doc").select("key", "doc"), "omh-left")
     # all documents of the buckets in which the leader turned one down meet again, and all short texts
     keys = maybe_broadcast(stored(left.select("key").distinct(), "omh-keys"))
     short = reps.where(F.col("n") <= SHORT).select("doc", "n")
     again = stored(rows.join(keys, "key", "left_semi").select("doc", "n").unionByName(short).distinct(), "omh-again")
     put = stored(_rare_pairs(again, texts, least), "omh-rare")
-    aligned, roots, _ = _more(aligned, roots, _meet_few(_rooted(put.where(F.col("c") <= FEW), roots), least), texts, least)
     many = put.where(F.col("c") > FEW)
     rest = stored(many.select("doc", "n").distinct(), "omh-rest")
-    if rest.limit(1).count():
-        for turn in range(LEADER_ROUNDS):
-            aligned, roots, joined = _more(aligned, roots, _meet_leaders(_rooted(many, roots), LEADERS, least, turn), texts, least)
-            if not joined:
-                break
+    frequent = rest.limit(1).count() > 0
+    pairs = _meet_few(_rooted(put.where(F.col("c") <= FEW), roots), least)
+    if frequent:
+        pairs = pairs.unionByName(_meet_leaders(_rooted(many, roots), LEADERS, least)).distinct()
+    aligned, roots = _more(aligned, roots, pairs, texts, least)
+    if frequent:
         words = stored(_rare_words(rest, texts, least), "omh-rare")
-        aligned, roots, _ = _more(aligned, roots, _meet_all(_rooted(words, roots), least), texts, least)
-    return _links(aligned)
+        aligned, roots = _more(aligned, roots, _meet_all(_rooted(words, roots), least), texts, least)
+    return roots
 
 
-def _more(aligned: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame, bool]:
-    """(aligned, roots, was anything joined) after the alignment of those pairs (leader, doc) that are not yet aligned."""
+def _more(aligned: DataFrame, roots: DataFrame, pairs: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(aligned, roots) after the alignment of those pairs (leader, doc) that are not yet aligned."""
     pairs = stored(pairs.join(aligned, ["leader", "doc"], "left_anti"), "omh-pairs")
     if not pairs.limit(1).count():
-        return aligned, roots, False
+        return aligned, roots
     more = _aligned(pairs, texts, least)
-    aligned = aligned.unionByName(more)
-    if not more.where("sim is not null").limit(1).count():
-        return aligned, roots, False
-    return aligned, maybe_broadcast(stored(components(_links(aligned)), "omh-roots")), True
+    return aligned.unionByName(more), merged(roots, _links(more))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root; a stored table) after more links (a, b): only the classes that a link joins are touched."""
+    at = maybe_broadcast(roots)
+    of = lambda c, name: at.select(F.col("node").alias(c), F.col("root").alias(name))
+    both = links.select("a", "b").join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    both = stored(both.where("a <> b").distinct(), "omh-joins")
+    if not both.limit(1).count():
+        return roots
+    moved = maybe_broadcast(stored(components(both), "omh-moved"))
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(known.unionByName(moved.join(at.select("node"), "node", "left_anti").select("node", "root")), "omh-roots")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """rows (doc, ...) with the root of doc's class: doc itself if it has no link."""
-    return rows.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    return rows.join(maybe_broadcast(roots).withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
 
 
 def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
@@ -491,10 +499,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     first = sk.groupBy("copy").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("copy", "rep")
     member = sk.select("doc_id", "copy").join(maybe_broadcast(stored(first, "omh-copies")), "copy", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     member = stored(member, "omh-members")
-    near = links(sk, docs, id_col, text_col, least).select("a", "b")
     # an id that stands on rows of different texts ties those texts together
     same = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-    roots = stored(components(near.unionByName(same)), "omh-roots")
+    roots = merged(linked(sk, docs, id_col, text_col, least), same)
     out = member.join(maybe_broadcast(roots), F.col("rep") == F.col("node"), "left")
     out = out.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     lost = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
