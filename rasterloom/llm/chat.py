@@ -3,24 +3,25 @@
 A turn is written `<|turn|>role\ntext<|end|>`. In roles and texts `~`, `<`, `[` become `~0`, `~1`, `~2` (in roles also a
 line feed `~3`), so no control string can occur in them and reading back is exact.
 
-Windows: prefix sums of turn tokens (blank-separated runs) choose spans of new turns that fit the budget less the
-system turn and the history; every later window repeats the system turn (a first turn of role `system`) and up to
-`history_turns` turns just before the span, as far as they fit `history_tokens`. A turn above the budget is a window's only new turn, whole.
-The loss mask covers the texts of new assistant turns only, so repeated ones are masked and each counts once.
+Windows: the prefix sum of turn tokens (blank-separated runs) before a turn names its cell, GRID_SHARE of the room that the budget leaves beside the
+system turn and the history. A window's new turns are those that begin in one cell; a turn that would not fit the room behind them is a window's only new turn, whole. Every later window repeats the system turn (a first turn of role `system`) and up to
+`history_turns` turns just before the span, as far as they fit `history_tokens`. The loss mask covers the texts of new assistant turns only,
+so repeated ones are masked and each counts once. All of this is window functions over rows of turns: no array grows with a conversation.
 
 Cases: null text and null role count as ''; null conv_id is a conversation of its own; rows are ordered by (turn,
 role, text), null turns first, so repeated rows and ties have a fixed order; an empty table gives no rows.
-A conversation is one array in a row: it has to meet in one task for its digest.
+Turns are dealt to tasks by conversation, in one shuffle: a very long one is sorted, with spilling, in one task, where its digest needs it whole anyway.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import words_expr
 
 TURN, END = "<|turn|>", "<|end|>"
+GRID_SHARE = 0.75
 
 
 def escape(text: Column) -> Column:
@@ -49,39 +50,45 @@ def format_windows(turns: DataFrame, budget: int = 2048, history_turns: int = 2,
     turns: conv_id, turn, role, text; other columns are ignored.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select(
-        "conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), words_expr(F.col("text")).alias("tok")).alias("t")
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), words_expr(F.col("text")).alias("tok"))
+    order, whole = Window.partitionBy("conv_id").orderBy("turn", "role", "text"), Window.partitionBy("conv_id")
+    rows = rows.withColumn("pos", F.row_number().over(order) - 1)
+    order = Window.partitionBy("conv_id").orderBy("pos")
+    first = (F.col("pos") == 0) & (F.col("role") == "system")
+    rows = rows.withColumns({"is_sys": first, "cost": F.when(first, F.lit(0).cast("long")).otherwise(F.col("tok"))})
+    rows = rows.withColumns({
+        "sys_tok": F.max(F.when(F.col("is_sys"), F.col("tok"))).over(whole),  # null: no system turn
+        "before": F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cost"),
+    })
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history_tokens) - F.coalesce("sys_tok", F.lit(0)))
+    grid = F.greatest(F.lit(1).cast("long"), F.floor(room * GRID_SHARE))
+    rows = rows.withColumn("cell", F.floor(F.col("before") / grid)).withColumn("fits", F.col("before") - F.col("cell") * grid + F.col("cost") <= room)
+    starts = (F.col("cell") != F.lag("cell").over(order)) | ~F.col("fits") | ~F.lag("fits").over(order)
+    # a system turn alone makes no window
+    starts = starts & (F.col("pos") > F.when(F.col("sys_tok").isNotNull(), 1).otherwise(0))
+    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False)))
+    rows = rows.withColumn("window", F.sum(F.col("starts").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    later = [  # windows that begin at most history_turns turns on and whose history has room for this turn
+        F.when(F.lead("starts", k).over(order) & ~F.col("is_sys") & (F.lead("before", k).over(order) - F.col("before") <= history_tokens), F.lead("window", k).over(order))
+        for k in range(1, history_turns + 1)
+    ]
+    nothing = F.expr("cast(array() as array<bigint>)")
+    again = F.filter(F.array(*later), lambda w: w.isNotNull()) if later else nothing
+    last = F.max("window").over(whole)
+    again = F.when(F.col("is_sys") & (last > 0), F.sequence(F.lit(1).cast("long"), last)).when(F.col("is_sys"), nothing).otherwise(again)
+    rows = rows.withColumns({"again": again, "head": F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")), "body": escape(F.col("text"))})
+    places = F.concat(F.array(F.struct("window", F.lit(False).alias("rep"))), F.transform("again", lambda w: F.struct(w.alias("window"), F.lit(True).alias("rep"))))
+    rows = rows.select("conv_id", "pos", "role", "head", "body", F.explode(places).alias("p")).select("conv_id", "pos", "role", "head", "body", "p.window", "p.rep")
+    inside = Window.partitionBy("conv_id", "window").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("head") + F.length("body") + len(END)
+    rows = rows.withColumn("end", F.sum(size.cast("long")).over(inside) - len(END)).withColumn("start", F.col("end") - F.length("body"))
+    loss = (F.col("role") == "assistant") & ~F.col("rep")
+    out = rows.groupBy("conv_id", "window").agg(
+        F.count_if("rep").alias("n_repeated"),
+        F.sort_array(F.collect_list(F.struct("pos", F.concat("head", "body", F.lit(END)).alias("piece")))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(loss, F.struct("start", "end")))).alias("mask"),
     )
-    conv = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    conv = conv.withColumn("sys", F.expr("if(t[0].role = 'system', 1, 0)"))
-    # upto[i]: tokens of the turns before i
-    conv = conv.withColumn("upto", F.expr("aggregate(t, array(0L), (a, x) -> array_append(a, a[size(a) - 1] + x.tok))"))
-    conv = conv.withColumn("cap", F.expr(f"greatest(1L, {budget}L - {history_tokens}L - if(sys = 1, t[0].tok, 0L))"))
-    # first new turn of each window: a turn whose end is beyond cap from the window's start begins the next
-    conv = conv.withColumn("starts", F.expr("""
-        aggregate(sequence(1, size(t)), array(0), (s, i) ->
-            if(i < size(t) and i > s[size(s) - 1] and upto[i + 1] - upto[s[size(s) - 1]] > cap + if(s[size(s) - 1] = 0 and sys = 1, t[0].tok, 0L),
-               array_append(s, i), s))"""))
-    spans = conv.select("conv_id", "t", "sys", "upto", "starts", F.posexplode("starts").alias("window", "s"))
-    spans = spans.withColumn("e", F.expr("coalesce(get(starts, window + 1), size(t))"))
-    spans = spans.withColumn("h", F.expr(f"""
-        if(s = 0, 0, s - coalesce(array_min(filter(sequence(greatest(sys, s - {history_turns}), s),
-            j -> j < s and upto[s] - upto[j] <= {history_tokens})), s))"""))
-    spans = spans.withColumn("n_repeated", F.expr("if(s = 0, 0, if(s - h >= sys, sys, 0)) + h"))
-    spans = spans.withColumn("seg", F.expr("""
-        concat(if(s > 0 and sys = 1, slice(t, 1, 1), slice(t, 1, 0)), if(h > 0, slice(t, s - h + 1, h), slice(t, 1, 0)), slice(t, s + 1, e - s))"""))
-    seg = F.transform("seg", lambda x, i: F.struct(
-        F.concat(F.lit(TURN), escape_role(x["role"]), F.lit("\n")).alias("head"),
-        escape(x["text"]).alias("body"),
-        ((x["role"] == "assistant") & (i >= F.col("n_repeated"))).alias("loss"),
-    ))
-    out = spans.select("conv_id", F.col("window").cast("long"), F.col("n_repeated").cast("long"), seg.alias("seg"))
-    out = out.withColumn("formatted", F.array_join(F.transform("seg", lambda x: F.concat(x["head"], x["body"], F.lit(END))), ""))
-    mask = F.expr(f"""
-        aggregate(seg, named_struct('at', 0L, 'm', cast(array() as array<struct<start:bigint,end:bigint>>)), (a, x) -> named_struct(
-            'at', a.at + length(x.head) + length(x.body) + {len(END)}L,
-            'm', if(x.loss, array_append(a.m, named_struct('start', a.at + length(x.head), 'end', a.at + length(x.head) + length(x.body))), a.m))).m""")
-    return out.withColumn("mask", mask).drop("seg")
+    return out.select("conv_id", "window", "n_repeated", F.array_join("pieces.piece", "").alias("formatted"), "mask")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -186,9 +186,17 @@ def with_control_conversation(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text").unionByName(more)
 
 
-def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Small windows, so that most conversations are split and repeat history.
+CHAT_BUDGET, CHAT_HISTORY_TURNS, CHAT_HISTORY_TOKENS = 128, 2, 48
+
+
+def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = with_control_conversation(table(spark, sf_dir, "conversations"))
-    return chat.digests(chat.read_back(chat.format_windows(turns)))
+    return chat.format_windows(turns, CHAT_BUDGET, CHAT_HISTORY_TURNS, CHAT_HISTORY_TOKENS)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.read_back(chat_windows(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

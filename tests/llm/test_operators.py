@@ -562,6 +562,34 @@ def test_chat_round_trip(spark, budget, turns, tokens):
     # a later window repeats the system turn and at most `turns` more
     for r in windows.where("window > 0").collect():
         assert r["n_repeated"] <= turns + 1
+    # new turns fit what system turn and history leave of the budget, but for a turn that is too long by itself
+    size = lambda x: len(re.findall(r"[^ \t\n\r]+", x))
+    for r in windows.collect():
+        said = [chat_plain(p.split("\n", 1)[1][: -len(chat.END)]) for p in r["formatted"].split(chat.TURN)[1:]]
+        new = [size(x) for x in said[r["n_repeated"]:]]
+        assert r["formatted"].startswith(f"{chat.TURN}system\n") or r["conv_id"] % 2 or r["conv_id"] < 0
+        held = sum(map(size, said[: r["n_repeated"]]))
+        assert sum(new) <= max(1, budget - held) or len(new) == 1 or r["window"] == 0 and len(new) == 2
+
+
+def chat_plain(text):
+    return text.replace("~2", "[").replace("~1", "<").replace("~0", "~")
+
+
+def test_chat_windows_act_on_the_table(spark):
+    w = queries.chat_windows(spark, "/root/testdata/sf0.01")
+    got = w.agg(F.count_if("window > 0").alias("later"), F.count_if("n_repeated > 0").alias("again"), F.count_distinct("conv_id").alias("n")).first()
+    assert got["later"] > got["n"] / 2 and got["again"] > got["n"] / 2
+
+
+def test_chat_of_fifty_thousand_turns(spark):
+    n = 50_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.format_string("this is the turn number %d of a long talk", "id").alias("text"))
+    began = time.time()
+    got = chat.digests(chat.read_back(chat.format_windows(df))).first()
+    assert time.time() - began < 90
+    want = digests([("assistant" if i % 2 else "user", f"this is the turn number {i} of a long talk") for i in range(n)])
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == want
 
 
 def test_chat_cases(spark):
