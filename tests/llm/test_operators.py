@@ -580,7 +580,7 @@ def chat_plain(text):
 
 def test_chat_windows_act_on_the_table(spark):
     w = queries.chat_windows(spark, "/root/testdata/sf0.01")
-    got = w.agg(F.count_if("window > 0").alias("later"), F.count_if("n_repeated > 0").alias("again"), F.count_distinct("conv_id").alias("n")).first()
+    got = w.agg(F.count_if(F.col("window") > 0).alias("later"), F.count_if(F.col("n_repeated") > 0).alias("again"), F.count_distinct("conv_id").alias("n")).first()
     assert got["later"] > got["n"] / 2 and got["again"] > got["n"] / 2
 
 
