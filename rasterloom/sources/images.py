@@ -165,11 +165,19 @@ class FileFolder(DataSource):
         return _FolderWriter(self.options["path"])
 
 
+def file_stems(pictures: DataFrame) -> DataFrame:
+    """image_id, stem: the last part of the image_id without its suffix, and with a hash of the image_id behind it where several pictures share that part."""
+    stem = F.regexp_replace(F.regexp_extract("image_id", "[^/]*$", 0), r"\.[^.]*$", "")
+    named = pictures.select("image_id").distinct().withColumn("stem", stem)
+    shared = named.groupBy("stem").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    apart = F.concat("stem", F.lit("-"), F.substring(F.md5("image_id"), 1, 8))
+    return named.join(shared, "stem", "left").select("image_id", F.when(F.col("_n").isNull(), F.col("stem")).otherwise(apart).alias("stem"))
+
+
 def save_images(pixels: DataFrame, folder: str, suffix: str = "") -> None:
-    """One PNG per picture, named after the last part of its image_id."""
+    """One PNG per picture, named by file_stems."""
     pixels.sparkSession.dataSource.register(FileFolder)
-    stem = F.regexp_replace(F.regexp_extract("image_id", "[^/]*$", 0), r"\.[^.]*$", "")
-    named = encode_png(pixels).select(F.concat(stem, F.lit(f"{suffix}.png")).alias("name"), F.col("png").alias("content"))
+    named = encode_png(pixels).join(file_stems(pixels), "image_id").select(F.concat("stem", F.lit(f"{suffix}.png")).alias("name"), F.col("png").alias("content"))
     named.write.format("files").mode("append").save(folder)
 
 
@@ -181,8 +189,7 @@ def report_json(info: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def save_reports(reports: DataFrame, folder: str) -> None:
-    """One JSON file per picture."""
+    """One JSON file per picture, `<stem>-report.json`."""
     reports.sparkSession.dataSource.register(FileFolder)
-    stem = F.regexp_replace(F.regexp_extract("image_id", "[^/]*$", 0), r"\.[^.]*$", "")
-    rows = reports.select(F.concat(stem, F.lit(".json")).alias("name"), F.col("report").cast("binary").alias("content"))
+    rows = reports.join(file_stems(reports), "image_id").select(F.concat("stem", F.lit("-report.json")).alias("name"), F.col("report").cast("binary").alias("content"))
     rows.write.format("files").mode("append").save(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset (local runs)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local runs (removed at exit) and an error on a cluster, whose machines share none."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[app] = "file://" + own
     return _own[app]
 
 

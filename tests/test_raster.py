@@ -345,7 +345,7 @@ def test_colours_and_settings():
     assert p.options().radius is None and Params(alpha="flatten", bg_color="#102030").composite() == (16, 32, 48)
     assert auto_radius(1254, 1254) == 16 and auto_radius(16, 16) == 3 and auto_radius(4096, 4096) == 24
     assert math.isclose(estimate_seconds(1254, 1254), 3.0) and estimate_seconds(1254, 1254, Params(stride=2)) < 1
-    assert "stride 2" in Params(stride=2).summary() and Options(strength=9).sigma_range == 8.0
+    assert Params(stride=2).summary() == "stride=2" and Params().summary() == "default" and Options(strength=9).sigma_range == 8.0
 
 
 def test_crop_is_clipped_and_downscale_keeps_a_constant(spark):
@@ -378,12 +378,25 @@ def test_stream_cleans_new_files(spark, tmp_path):
     assert sorted(r["v"] for r in folder.latest(rows).collect()) == ["new", "only"]
 
 
+def test_pictures_of_one_name_keep_files_of_their_own(spark, tmp_path):
+    both = picture(spark, opaque(8, 8, (9, 8, 7), 0), "x/a.png").unionByName(picture(spark, opaque(8, 8, (90, 80, 70), 0), "y/a.png")).unionByName(picture(spark, opaque(8, 8, (1, 2, 3), 0), "y/b.png"))
+    images.save_images(both, str(tmp_path / "out"))
+    names = sorted(p.name for p in (tmp_path / "out").glob("*.png"))
+    assert len(names) == 3 and names[-1] == "b.png" and all(n.startswith("a-") for n in names[:2])
+
+
+def test_public_names():
+    import rasterloom
+
+    assert all(hasattr(rasterloom, n) for n in rasterloom.__all__)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from rasterloom import cli
 
     images.save_images(picture(spark, opaque(48, 48, (90, 80, 70), 1), "one"), str(tmp_path / "in"))
     assert cli.main(["clean", str(tmp_path / "in"), "-o", str(tmp_path / "out"), "--report"]) == 0
-    assert {p.name for p in (tmp_path / "out").iterdir()} >= {"one-clean.png", "one.json"}
+    assert {p.name for p in (tmp_path / "out").iterdir()} >= {"one-clean.png", "one-report.json"}
     assert cli.main(["clean", str(tmp_path / "in"), "-o", str(tmp_path / "out")]) == 0
     assert "cleaned 0" in capsys.readouterr().out
     assert cli.main(["compare", str(tmp_path / "in" / "one.png"), "-o", str(tmp_path / "cmp"), "--crop", "4,4,20,20"]) == 0
