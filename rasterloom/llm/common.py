@@ -1,37 +1,15 @@
-"""Small helpers the operators share: scratch tables, size checks, safe text columns."""
+"""Small helpers the operators share: tables in the shared folder, size checks, safe text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored  # noqa: F401  the operators take it from here
+
 #: Rows up to which a slim side (a few longs a row) may be broadcast; beyond it callers shuffle.
 BROADCAST_ROWS = 500_000
 
-_own_dirs: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (local runs)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _own_dirs[app]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df if it has at most limit rows, else leave the join to shuffle (and AQE to split skew).
