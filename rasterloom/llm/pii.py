@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts reveal.
 
 Base spans (leftmost, non-overlapping per kind): email, ip, card, phone by the patterns below and their checks.
-Bootstrapping: each base span is a seed. Its lexical pattern is its kind and the two words before it; every other token with
-LEAST_DIGITS digits or more is a candidate with a pattern of its own. Spark scores the graph of patterns and instances in turns: a
+Bootstrapping: each base span is a seed. Its lexical patterns are the two words before it, and the word before and the word after it (a word stands for its last
+WORD_CHARS characters, in lower case and with 0 for runs of digits). Candidates have the same patterns: every other token with LEAST_DIGITS digits or more, taken together with the
+groups of digits that follow it, @handles, and addresses spelled `x at y dot z`. Spark scores the graph of patterns and instances in turns: a
 pattern's score is the mean confidence of its distinct instances, smoothed by SMOOTH unknown ones; an instance that is no seed
 takes the best score of its patterns. After ROUNDS turns, candidates under patterns of score >= ACCEPT that at least SEEDS
 different seeds support are found, as spans of kind `id`. Base spans stay as they are, and the four counts are theirs.
@@ -13,6 +14,7 @@ candidates of a text travel, never the text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,10 +31,10 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9]\S*")
+_TOKEN = re.compile(r"(?<!\S)(?:(?P<digits>[^\s0-9]*+[0-9]\S*+(?:\x20[(+]?[0-9][0-9().-]*+(?=\s|[,;:!?]|\Z))*+)|@[A-Za-z0-9_]{2,}+|[\w.-]++\x20[(\[]?at[)\]]?\x20[\w-]++\x20[(\[]?dot[)\]]?\x20\w++)")
 _WORD = re.compile(r"\S+")
 KINDS = ("email", "ip", "card", "phone")
-LEAST_DIGITS, SMOOTH, ROUNDS, ACCEPT, SEEDS = 4, 1.0, 3, 0.8, 5
+LEAST_DIGITS, SMOOTH, ROUNDS, ACCEPT, SEEDS, WORD_CHARS = 4, 1.0, 3, 0.8, 5, 64
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -72,18 +74,40 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def _context(text: str, start: int) -> str:
-    """The two words before start, lower-cased, digits as 0."""
-    before = _WORD.findall(text[max(0, start - 80) : start])[-2:]
-    return re.sub(r"[0-9]+", "0", " ".join(before).lower())
+class _Contexts:
+    """Patterns of spans of a text, each found in time that does not grow with the text."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.starts, self.ends = text, [], []
+        for m in _WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def _word(self, start: int, end: int) -> str:
+        return re.sub(r"[0-9]+", "0", self.text[max(start, end - WORD_CHARS) : end].lower())
+
+    def of(self, start: int, end: int) -> list[str]:
+        """Of the span: the two words before it, and the word before and the word after it; letters or digits right at the span count as a word, mere marks don't."""
+        i = bisect.bisect_left(self.starts, start)  # words that begin before the span
+        if i and self.ends[i - 1] > start and not any(map(str.isalnum, self.text[max(self.starts[i - 1], start - WORD_CHARS) : start])):
+            i -= 1
+        before = [self._word(self.starts[j], min(self.ends[j], start)) for j in range(max(0, i - 2), i)]
+        k = bisect.bisect_right(self.ends, end)  # the first word that ends behind the span
+        if k < len(self.starts) and self.starts[k] < end and not any(map(str.isalnum, self.text[end : min(self.ends[k], end + WORD_CHARS)])):
+            k += 1
+        after = ""
+        if k < len(self.starts):
+            first = max(self.starts[k], end)
+            after = self._word(first, min(self.ends[k], first + WORD_CHARS))
+        return [" ".join(before), f"{before[-1] if before else ''}|{after}"]
 
 
 def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()), ("surface", pa.int64())])
-_SCHEMA = "doc_id long, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind string, start int, end int, context string, surface long>>"
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("contexts", pa.list_(pa.string())), ("surface", pa.int64())])
+_SCHEMA = "doc_id long, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind string, start int, end int, contexts array<string>, surface long>>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,21 +119,24 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in KINDS:
                 counts[k].append(len(base[k]))
             digest.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in rows).encode()).hexdigest())
-            out = [(k, s, e, _context(text, s), _hash(text[s:e].lower())) for k, s, e in rows]
+            own = None
+            if rows or _TOKEN.search(text):
+                own = _Contexts(text)
+            out = [(k, s, e, own.of(s, e), _hash(text[s:e].lower())) for k, s, e in rows]
             taken = sorted((s, e) for _, s, e in rows)
             i = 0
-            for m in _TOKEN.finditer(text):
+            for m in _TOKEN.finditer(text) if own else ():
                 s, e = m.span()
                 while i < len(taken) and taken[i][1] <= s:
                     i += 1
-                if any(a < e for a, b in taken[i : i + 4] if b > s) or sum(map(str.isdigit, m.group())) < LEAST_DIGITS:
+                if any(a < e for a, b in taken[i : i + 4] if b > s) or m["digits"] and sum(map(str.isdigit, m.group())) < LEAST_DIGITS:
                     continue
                 while not text[s].isalnum():
                     s += 1
                 while not text[e - 1].isalnum():
                     e -= 1
-                out.append((None, s, e, _context(text, s), _hash(text[s:e].lower())))
-            found.append([dict(zip(("kind", "start", "end", "context", "surface"), x)) for x in out])
+                out.append((None, s, e, own.of(s, e), _hash(text[s:e].lower())))
+            found.append([dict(zip(("kind", "start", "end", "contexts", "surface"), x)) for x in out])
         yield pa.record_batch(
             [batch.column("doc_id"), pa.array(digest, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(found, pa.list_(_SPAN))],
             names=["doc_id", "base_sha256", *(f"n_{k}" for k in KINDS), "found"],
@@ -137,7 +164,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of docs: doc_id, the four counts, base_sha256, spans (kind:start:end, ...) and n_id (found by context)."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(slim.mapInArrow(_extract, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
+    found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("context", F.explode("contexts"))
     good = maybe_broadcast(stored(patterns(found.select("context", "surface", "kind")), "pii-accepted"))
     extra = found.where("kind is null").join(good, "context").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("more"))
     rows = rows.join(extra, "row", "left")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import id_text, maybe_broadcast, stored
 
 HASH_BITS = 60
-#: Bits that one refinement looks at; 12 more than the even split needs come with the first.
-STEP_BITS = 12
+#: Bits beyond the even split that the first step looks at, and bits that each refinement adds: cells stay few beside the shards.
+FIRST_BITS, STEP_BITS = 4, 12
 
 
 def hash_bits(key: Column) -> Column:
@@ -35,7 +35,9 @@ def _resolve(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     ups = cells.select(
         "_sh_cell", "_sh_b", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_sh_d")
     ).withColumn("_sh_p", F.expr(f"shiftright(_sh_cell, {high} - _sh_d)"))
-    sums = ups.groupBy("_sh_d", "_sh_p").agg(F.sum("_sh_b").alias("_sh_s")).where(F.col("_sh_s") <= limit)
+    # stored: the skewed upper prefixes can be split in the join
+    sums = ups.groupBy("_sh_d", "_sh_p").agg(F.sum("_sh_b").alias("_sh_s")).where(F.col("_sh_s") <= limit).select("_sh_d", "_sh_p")
+    sums = maybe_broadcast(stored(sums, "shard-prefixes"))
     # a prefix that fits has all of its own prolongations fit: the shard is the shortest
     return ups.join(sums, ["_sh_d", "_sh_p"]).groupBy("_sh_cell").agg(F.min("_sh_d").cast("int").alias("_sh_depth"))
 
@@ -46,7 +48,7 @@ def directory(slim: DataFrame, limit: int) -> list[tuple[DataFrame, int]]:
     slim: `_sh_h`, `_sh_bytes`, a stored table.
     """
     total = slim.agg(F.coalesce(F.sum("_sh_bytes"), F.lit(0)).alias("t")).first()["t"]
-    bits = min(HASH_BITS, max(0, int(total // limit).bit_length()) + STEP_BITS)
+    bits = min(HASH_BITS, max(0, int(total // limit).bit_length()) + FIRST_BITS)
     levels, low, rows = [], 0, slim
     while True:
         cells = rows.groupBy(prefix(F.col("_sh_h"), bits).alias("_sh_cell")).agg(F.sum("_sh_bytes").alias("_sh_b"))

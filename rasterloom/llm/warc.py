@@ -76,7 +76,9 @@ def resolve(captures: DataFrame) -> DataFrame:
     found = near.withColumn("status", status).withColumn("base_id", F.when(F.col("status") == "resolved", F.col("base.capture_id")))
     base = rows.where(serves).select(F.col("capture_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("payload").alias("base_payload"))
     if keys.where(serves).groupBy("capture_id").count().where("count > 1").limit(1).count():
-        base = base.dropDuplicates(["base_id"])
+        # of responses that share an id the one with the least payload and headers serves
+        one = F.struct("base_headers", "base_payload")
+        base = base.groupBy("base_id").agg(F.min_by(one, F.struct(F.col("base_payload"), F.to_json("base_headers"))).alias("b")).select("base_id", "b.*")
     done = found.join(base, "base_id", "left")
     update = F.map_filter("headers", lambda k, _: k.isin(*PERMITTED))
     kept = F.map_filter("base_headers", lambda k, _: ~F.array_contains(F.map_keys(update), k))

@@ -69,6 +69,17 @@ def test_mixing_epochs_prefixes_and_redistribution(spark):
     assert {k for k, n in got.items() if n and k is not None and k >= 100 and k < 5000} == set(order[:40])
 
 
+def test_mixing_runs_out_on_the_table(spark):
+    """Leaves and whole languages of the registered query reach what they can give, and the rest goes to their siblings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plan = mixing.leaf_plan(mixing.slim_rows(docs, queries.mix_tree()), queries.MIX_WEIGHTS, queries.MIX_SHARE, queries.MIX_EPOCHS, queries.MIX_SEED).collect()
+    full = [r["_mix_b"] == r["_mix_t"] * queries.MIX_EPOCHS for r in plan]
+    langs = {}
+    for r, f in zip(plan, full):
+        langs.setdefault((r["_mix_0"], r["_mix_1"]), []).append(f)
+    assert any(full) and not all(full) and any(map(all, langs.values())) and not all(map(all, langs.values()))
+
+
 def test_mixing_empty(spark):
     assert mix(spark, []).count() == 0
     assert mix(spark, [(1, None, "x", "y", "z"), (1, None, "x", "y", "z")]).count() == 0
@@ -537,6 +548,18 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert got[100]["n_id"] == 1 and got[100]["spans"] == "id:19:32" and got[101]["n_id"] == 0 and got[0]["n_email"] == 1
 
 
+def test_grouped_and_digit_free_identifiers_are_found(spark):
+    rng = random.Random(41)
+    rows = [(i, f"{prose(rng, 5)} my mail is u{i}@example.org thanks {prose(rng, 5)}") for i in range(30)]
+    rows += [(50 + i, f"{prose(rng, 5)} please call +49 30 {i + 100} 4567 today {prose(rng, 5)}") for i in range(30)]
+    rows += [(100, "oh my mail is jane dot at example dot org thanks"), (101, "oh my mail is @jane_doe thanks"), (102, "please call 743 555 3824 today"), (103, "a @jane_doe b"), (104, "x" * 300 + " please call 743 555 3824 soon")]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    part = lambda i, t: t[slice(*map(int, got[i]["spans"].split(":")[1:]))]
+    texts = dict(rows)
+    assert part(101, texts[101]) == "jane_doe" and part(102, texts[102]) == "743 555 3824" and part(104, texts[104]) == "743 555 3824"
+    assert got[103]["n_id"] == 0 and got[0]["n_email"] == 1 and got[50]["n_phone"] == 1
+
+
 # ---------------------------------------------------------------- 10 chat
 def digests(turns):
     turns = [(r or "", t or "") for r, t in turns]
