@@ -12,7 +12,13 @@ from rasterloom.llm import decontam, mixing, near_dup, quality, queries, shardin
 from rasterloom.llm.common import stored
 
 #: The mixing stage asks for as many tokens as there are, so that it re-weights rather than thins.
-STAGE_SHARE = 1.0
+STAGE_SHARE, STAGE_EPOCHS = 1.0, 4
+STAGE_WEIGHTS: dict[tuple[str, ...], int] = {
+    ("web",): 3, ("curated",): 2,
+    ("web", "en"): 6, ("web", "de"): 3, ("web", "fr"): 3, ("web", "es"): 2,
+    ("curated", "en"): 4, ("curated", "de"): 2, ("curated", "fr"): 2, ("curated", "es"): 2,
+    ("web", "en", "src0"): 4,
+}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +41,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the target mix: a row for each epoch that takes a document."""
     slim = stored(mixing.slim_rows(docs, queries.mix_tree()), "mix-rows")
-    plan = mixing.leaf_plan(slim, queries.MIX_WEIGHTS, STAGE_SHARE, queries.MIX_EPOCHS, queries.MIX_SEED)
-    from pyspark.sql.functions import col
-
+    plan = mixing.leaf_plan(slim, STAGE_WEIGHTS, STAGE_SHARE, STAGE_EPOCHS, queries.MIX_SEED)
     tree = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(mixing.LEVELS, queries.mix_tree())}
-    rows = docs.withColumns({"_mix_id": col("doc_id"), "_mix_tok": mixing.words_expr(col("text")), **tree})
+    rows = docs.withColumns({"_mix_id": F.col("doc_id"), "_mix_tok": mixing.words_expr(F.col("text")), **tree})
     taken = mixing.take(rows, plan, queries.MIX_SEED).where("_mix_n > 0")
     return taken.withColumn("_mix_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select(*docs.columns)
 
