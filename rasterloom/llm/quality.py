@@ -20,6 +20,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -33,11 +35,29 @@ _TOKEN_END = re.compile(r"[^\w\s]+$")
 
 
 class _Buckets(dict):
-    """Token to the buckets of its word and its shape; forgets all when it holds 200,000 tokens."""
+    """Token to the buckets of its word and its shape, of those in `only` (all, if None); forgets all when it holds 200,000 tokens."""
+
+    def __init__(self, only: frozenset[int] | None = None) -> None:
+        super().__init__()
+        self.only = only
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         if len(self) >= 200_000:
             self.clear()
+        core = token[:-1] if token[-1] in ".,;:?" else token
+        word = core.lower()
+        if core.isalpha() and word.isalpha():  # most tokens: what parts() would find, sooner
+            found = [_UPPER] if len(core) > 1 and core.isupper() else []
+            found.append(bucket("w" + word))
+            if len(word) > 5:
+                found.append(bucket("p" + word[:5]))
+        else:
+            found = self.parts(token)
+        b = self[token] = tuple(found) if self.only is None else tuple(b for b in found if b in self.only)
+        return b
+
+    @staticmethod
+    def parts(token: str) -> list[int]:
         end = _TOKEN_END.search(token)
         mark = end.group()[-3:] if end else ""
         stem = token[: end.start()] if end else token
@@ -50,26 +70,26 @@ class _Buckets(dict):
             found.append(bucket("w" + word))
             if len(word) > 5:
                 found.append(bucket("p" + word[:5]))
-        b = self[token] = tuple(found)
-        return b
+        return found
 
 
 def bucket(feature: str) -> int:
-    return xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+    return xxhash.xxh32_intdigest(feature if feature.isascii() else feature.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+
+
+_UPPER = bucket("#U")
 
 
 def features(text: str, cache: _Buckets) -> list[int]:
-    """Distinct buckets of a text, in increasing order."""
+    """Distinct buckets of a text, in increasing order; only those that the cache keeps."""
     tokens = text.split()
     kinds = set(tokens)
-    out: set[int] = set()
-    for t in kinds:
-        out.update(cache[t])
+    out = set(chain.from_iterable(map(cache.__getitem__, kinds)))
     if len(tokens) >= 20:
         # how much of the text repeats: an adjacent repeat is rare in prose
-        out.add(bucket(f"=types{int(8 * len(kinds) / len(tokens))}"))
-        repeats = sum(map(str.__eq__, tokens, tokens[1:])) / len(tokens)
-        out.add(bucket(f"=repeats{min(4, int(10 * repeats))}"))
+        repeats = sum(map(eq, tokens, islice(tokens, 1, None))) / len(tokens)
+        shares = {bucket(f"=types{int(8 * len(kinds) / len(tokens))}"), bucket(f"=repeats{min(4, int(10 * repeats))}")}
+        out |= shares if cache.only is None else shares & cache.only
     return sorted(out)
 
 
@@ -184,7 +204,9 @@ def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     @F.pandas_udf("expected_grade double, p_good double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache, m = _Buckets(), held.value
+        m = held.value
+        # most buckets weigh nothing: tokens that have no other are done with one look-up
+        cache = _Buckets(frozenset(np.flatnonzero(m.weights).tolist()))
         for texts in it:
             s = np.array([m.weights[features(t, cache)].sum(dtype=np.float64) if t else 0.0 for t in texts])
             tails = m.tails(s)

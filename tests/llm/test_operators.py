@@ -165,6 +165,16 @@ def test_quality_ranks_held_out_rows(spark):
     assert (out["keep"] == out["good"]).mean() > 0.85
 
 
+def test_quality_features_by_the_short_way_equal_the_long_way():
+    """Plain words skip the patterns, and scoring looks only at buckets that weigh something: neither changes what is found."""
+    tokens = "a A be BE Be. BE, longer, LONGER? don't naïve É ß. İa İstanbul. ﬁne ÉTÉ, x1 1. ... . ?! word!! U.S. over-all \U0001d400bc end: end; (in) I I.".split()
+    cache = quality._Buckets()
+    assert all(set(cache[t]) == set(quality._Buckets.parts(t)) for t in tokens)
+    text = " ".join(tokens * 2)
+    only = frozenset(quality.features(text, cache)[::3])
+    assert quality.features(text, quality._Buckets(only)) == sorted(only)
+
+
 def test_quality_cases(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
