@@ -1,6 +1,7 @@
 """Image files: scan, naming, PNG output, reports.
 
-Spark's image source decodes (png, jpeg, gif, bmp, tiff); files that it can't decode become error rows. PNG is written band by band: bands are
+Spark's image source decodes (png, jpeg, gif, bmp, tiff); files that it can't decode become error rows. It drops the alpha of grey PNG files, which is
+read from the files themselves (interlaced ones become error rows). PNG is written band by band: bands are
 packed in parallel, and one picture's packed bands, never its pixels, meet to be joined.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..model import PIXELS, SUFFIXES
 
-BAND = 64
+BAND, PNG_START = 64, b"\x89PNG\r\n\x1a\n"
 _ADLER = 65521
 
 
@@ -35,26 +36,84 @@ def list_images(spark: SparkSession, folder: str, recursive: bool = False) -> Da
 
 def read_images(spark: SparkSession, path: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pixels, errors): pixels keyed by the file's path; errors has the path of each file that could not be decoded."""
-    held = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).load(path).select("image.*")
-    held = only_images(held, "origin")
-    return unpack(held.where("height > 0")), held.where("height <= 0").select(F.col("origin").alias("path"))
+    load = lambda kind: spark.read.format(kind).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    # the image source writes paths URL-encoded and local ones with other slashes
+    plain = place(F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B"))))
+    held = only_images(load("image").select("image.*"), "origin")
+    head = lambda at: F.hex(F.substring("content", at, 1))
+    alpha = load("binaryFile").where((F.hex(F.substring("content", 1, 8)) == PNG_START.hex().upper()) & (head(26) == "04"))
+    alpha = alpha.select(place("path").alias("place"), "content", (head(29) == "01").alias("laced"))
+    colour = held.where("height > 0 and nChannels <> 1")
+    grey = held.where("height > 0 and nChannels = 1").withColumn("place", plain).join(alpha, "place", "left")
+    laced = F.coalesce("laced", F.lit(False))
+    errors = held.where("height <= 0").select("origin").unionByName(grey.where(laced).select("origin"))
+    return unpack(colour).unionByName(unpack(grey.where(~laced))), errors.select(F.col("origin").alias("path"))
+
+
+def _png_parts(png: bytes) -> tuple[bytes, bytes]:
+    """The header and the unpacked lines of a PNG file."""
+    at, body, head = 8, [], b""
+    while at < len(png):
+        n, kind = struct.unpack(">I4s", png[at : at + 8])
+        if kind == b"IHDR":
+            head = png[at + 8 : at + 8 + n]
+        elif kind == b"IDAT":
+            body.append(png[at + 8 : at + 8 + n])
+        at += n + 12
+    return head, zlib.decompress(b"".join(body))
+
+
+def grey_alpha(png: bytes) -> np.ndarray:
+    """Alpha, one byte a pixel in picture order, of a grey PNG with alpha that isn't interlaced."""
+    head, raw = _png_parts(png)
+    w, h, depth = struct.unpack(">IIB", head[:9])
+    step = depth // 4
+    packed = np.frombuffer(raw, np.uint8).reshape(h, 1 + w * step)
+    above, out = np.zeros((w, step), np.uint8), np.empty((h, w), np.uint8)
+    for y in range(h):
+        kind, line = packed[y, 0], packed[y, 1:].reshape(w, step)
+        if kind == 1:
+            line = np.cumsum(line, axis=0, dtype=np.uint8)
+        elif kind == 2:
+            line = line + above
+        elif kind > 2:
+            line = np.array([_along(c.tolist(), up.tolist(), kind == 4) for c, up in zip(line.T, above.T)], np.uint8).T
+        out[y], above = line[:, step // 2], line
+    return out.ravel()
+
+
+def _along(line: list[int], up: list[int], paeth: bool) -> list[int]:
+    """One channel of a line whose filter needs both the pixel before and the line above."""
+    left = corner = 0
+    for x, b in enumerate(up):
+        if paeth:
+            guess = min((left, b, corner), key=lambda v: abs(left + b - corner - v))
+        else:
+            guess = (left + b) // 2
+        left = line[x] = (line[x] + guess) & 255
+        corner = b
+    return line
 
 
 def unpack(images: DataFrame) -> DataFrame:
-    """Pixels of rows of the image source (BGR or BGRA bytes, or grey), in chunks of rows."""
+    """Pixels of rows of the image source (BGR or BGRA bytes, or grey) and, where grey has an alpha, the file in `content`; in chunks of rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for origin, h, w, n, data in batch.itertuples(index=False):
+            for origin, h, w, n, data, content in batch.itertuples(index=False):
                 raw = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                alpha = grey_alpha(content) if n == 1 and content is not None else None
                 step = max(1, 200_000 // w)
                 for y0 in range(0, h, step):
                     part = raw[y0 : y0 + step].reshape(-1, n).astype(np.int32)
                     colour = part[:, [2, 1, 0]] if n >= 3 else part[:, [0, 0, 0]]
                     y, x = divmod(np.arange(y0 * w, y0 * w + len(part), dtype=np.int32), w)
-                    yield pd.DataFrame({"image_id": origin, "y": y, "x": x, "r": colour[:, 0], "g": colour[:, 1], "b": colour[:, 2], "a": part[:, 3] if n == 4 else 255})
+                    a = part[:, 3] if n == 4 else 255 if alpha is None else alpha[y0 * w : y0 * w + len(part)].astype(np.int32)
+                    yield pd.DataFrame({"image_id": origin, "y": y, "x": x, "r": colour[:, 0], "g": colour[:, 1], "b": colour[:, 2], "a": a})
 
-    return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(work, PIXELS)
+    content = F.col("content") if "content" in images.columns else F.lit(None).cast("binary").alias("content")
+    return images.select("origin", "height", "width", "nChannels", "data", content).mapInPandas(work, PIXELS)
 
 
 def output_path(path: Column, suffix: str = "-clean", out_dir: str | None = None) -> Column:
@@ -105,7 +164,7 @@ def encode_png(pixels: DataFrame) -> DataFrame:
         bodies = list(part["body"])
         bodies[0] = b"\x78\x9c" + bodies[0]
         bodies[-1] += struct.pack(">I", total)
-        png = b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", b) for b in bodies) + _chunk(b"IEND", b"")
+        png = PNG_START + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", b) for b in bodies) + _chunk(b"IEND", b"")
         return pd.DataFrame({"image_id": [first["image_id"]], "png": [png]})
 
     return packed.groupBy("image_id").applyInPandas(join, "image_id string, png binary")
@@ -117,16 +176,10 @@ def decode_png(files: DataFrame) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for image_id, png in batch.itertuples(index=False):
-                at, body, head = 8, b"", None
-                while at < len(png):
-                    n, kind = struct.unpack(">I4s", png[at : at + 8])
-                    part = png[at + 8 : at + 8 + n]
-                    head = struct.unpack(">IIBB", part[:10]) if kind == b"IHDR" else head
-                    body += part if kind == b"IDAT" else b""
-                    at += n + 12
-                w, h, _, kind = head
+                head, raw = _png_parts(png)
+                w, h, _, kind = struct.unpack(">IIBB", head[:10])
                 n = 4 if kind == 6 else 3
-                lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
+                lines = np.frombuffer(raw, np.uint8).reshape(h, 1 + w * n)
                 if lines[:, 0].any():
                     raise ValueError(f"{image_id}: filtered lines")
                 flat = lines[:, 1:].reshape(h * w, n).astype(np.int32)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +12,7 @@ from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField,
 
 from ..model import Options
 from ..plans.clean import clean
-from ..sources.images import only_images, save_images, unpack
+from ..sources.images import only_images, read_images, save_images, unpack
 
 _IMAGE = StructType([StructField("origin", StringType()), StructField("height", IntegerType()), StructField("width", IntegerType()),
                      StructField("nChannels", IntegerType()), StructField("mode", IntegerType()), StructField("data", BinaryType())])
@@ -26,8 +29,13 @@ def clean_stream(spark: SparkSession, folder: str, out_dir: str, checkpoint: str
 
     def work(batch: DataFrame, number: int) -> None:
         good = only_images(batch, "origin").where("height > 0")
-        if not good.isEmpty():
-            save_images(clean(unpack(good), opts), out_dir, suffix)
+        # grey files are read by name (the source gives it URL-encoded), for their alpha; a batch has at most files_per_batch
+        grey = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["origin"])) for row in good.where("nChannels = 1").select("origin").collect()]
+        pixels = unpack(good.where("nChannels <> 1"))
+        if grey:
+            pixels = pixels.unionByName(read_images(batch.sparkSession, grey)[0])
+        if grey or not good.isEmpty():
+            save_images(clean(pixels, opts), out_dir, suffix)
 
     return incoming(spark, folder).writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

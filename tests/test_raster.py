@@ -401,3 +401,48 @@ def test_command_line(spark, tmp_path, capsys):
     assert "cleaned 0" in capsys.readouterr().out
     assert cli.main(["compare", str(tmp_path / "in" / "one.png"), "-o", str(tmp_path / "cmp"), "--crop", "4,4,20,20"]) == 0
     assert {"overview.png", "detail-1-4_4.png"} <= {p.name for p in (tmp_path / "cmp").iterdir()}
+
+
+def grey_alpha_png(grid, depth=8, laced=0):
+    """A grey PNG with alpha of (h, w, 2) bytes, whose lines take the five filters in turn."""
+    import struct
+    import zlib
+
+    h, w, _ = grid.shape
+    wide = np.repeat(grid, depth // 8, axis=2).astype(int).reshape(h, -1)
+    step, raw = depth // 4, b""
+    for y in range(h):
+        up = wide[y - 1] if y else np.zeros(w * step, int)
+        left, corner = (np.r_[np.zeros(step, int), v[:-step]] for v in (wide[y], up))
+        p = left + up - corner
+        near = np.stack([left, up, corner])
+        paeth = np.take_along_axis(near, np.abs(p - near).argmin(0)[None], 0)[0]
+        guess = (0 * up, left, up, (left + up) // 2, paeth)[y % 5]
+        raw += bytes([y % 5]) + ((wide[y] - guess) % 256).astype(np.uint8).tobytes()
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 4, 0, 0, laced))
+    return b"\x89PNG\r\n\x1a\n" + head + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_alpha_of_grey_pictures_is_kept(spark, tmp_path):
+    rng = np.random.default_rng(19)
+    grid = rng.integers(0, 256, (23, 17, 2))
+    for depth in (8, 16):
+        assert (images.grey_alpha(grey_alpha_png(grid, depth)) == grid[:, :, 1].ravel()).all()
+    (tmp_path / "a + b la.png").write_bytes(grey_alpha_png(grid))
+    flat = np.full((4, 4, 2), (90, 10))
+    (tmp_path / "flat.png").write_bytes(grey_alpha_png(flat))
+    pixels, errors = images.read_images(spark, str(tmp_path))
+    got = pixels.where("image_id like '%la.png'").orderBy("y", "x").toPandas()
+    assert (got["a"].to_numpy() == grid[:, :, 1].ravel()).all() and errors.count() == 0
+    assert pixels.where("image_id like '%/flat.png'").select("r", "a").distinct().count() == 1
+    assert pixels.where("image_id like '%/flat.png' and a = 10 and r = g and g = b").count() == 16
+
+
+def test_stream_keeps_the_alpha_of_grey_pictures(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    grid = np.full((32, 32, 2), (90, 120))
+    (tmp_path / "in" / "grey [1].png").write_bytes(grey_alpha_png(grid))
+    folder.clean_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    pixels, errors = images.read_images(spark, str(tmp_path / "out"))
+    assert {r["a"] for r in pixels.select("a").distinct().collect()} == {120} and pixels.count() == 1024 and errors.count() == 0
