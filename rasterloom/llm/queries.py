@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, near_dup, pii, quality, sharding, topk, warc
+from . import chat, decontam, html_text, lexical, lloyd, mixing, near_dup, pii, quality, sharding, token_count, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,8 +199,62 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat_windows(spark, sf_dir)))
 
 
+# --- 11 lexical search
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+OP11_SQL = f"""
+with r as (select row_number() over () rid, doc_id, regexp_extract_all({_FOLDED}, {_TERM}) ts from documents),
+t as (select rid, unnest(ts) term from r),
+tf as (select rid, term, count(*) tf from t group by all),
+n as (select rid, count(*) n from t group by rid),
+s as (select count(*) nn, sum(n)::bigint ll from n),
+w as (select term, floor(1000 * ln((2 * nn + 2)::double / (2 * count(*) + 1)::double))::bigint w from tf, s group by term, nn),
+q as (select distinct item_id, unnest(regexp_extract_all({_FOLDED}, {_TERM})) term from benchmark),
+c as (select item_id, rid, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint score
+  from q join tf using (term) join w using (term) join n using (rid), s where item_id is not null group by item_id, rid),
+o as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int "rank", doc_id, score from c join r using (rid) where score > 0 and doc_id is not null)
+select item_id, "rank", doc_id, score from o where "rank" <= 10"""
+
+
+# --- 12 token counts
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"))
+
+
+# --- 13 clustering
+CLUSTERS, ROUNDS, COMPONENTS = 8, 10, 64
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, ROUNDS, COMPONENTS)
+
+
+def _round_sql(i: int) -> str:
+    """a<i>: assignments to the centroids c<i>; c<i+1>: the centroids after them."""
+    return f"""
+d{i} as (select r, k, sum((x.x - c.x) * (x.x - c.x))::bigint d from x join c{i} c using (pos) group by r, k),
+a{i} as (select r, k, d from (select *, row_number() over (partition by r order by d, k) o from d{i}) where o = 1),
+m{i} as (select k, pos, sum(x)::bigint s, count(*) n from a{i} join x using (r) group by k, pos),
+c{i + 1} as materialized (select c.k, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.x)::bigint x from c{i} c left join m{i} using (k, pos))"""
+
+
+OP13_SQL = f"""
+with v as (select row_number() over () r, vec_id, embedding from embeddings
+  where embedding is not null and len(embedding) = {COMPONENTS} and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+x as materialized (select r, pos, floor(1024 * e::double)::bigint x from (select r, unnest(embedding) e, generate_subscripts(embedding, 1) pos from v)),
+s as (select r, row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), embedding) - 1 k from v),
+c0 as materialized (select k, pos, x from x join s using (r) where k < {CLUSTERS}),{",".join(map(_round_sql, range(ROUNDS + 1)))},
+h as (select k, sha256(string_agg(x::varchar, ',' order by pos)) sha from c{ROUNDS} group by k)
+select vec_id, k::int as "cluster", d distance, sum(d) over (partition by k)::bigint cluster_inertia, sum(d) over ()::bigint inertia, sha centroid_sha256
+from a{ROUNDS} join v using (r) join h using (k)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_decontamination, op3_quality, op4_html_text, op5_sharding, op6_warc_revisits, op7_near_duplicates, op8_topk, op9_pii, op10_chat)
+    for f in (op1_mixing, op2_decontamination, op3_quality, op4_html_text, op5_sharding, op6_warc_revisits, op7_near_duplicates, op8_topk, op9_pii, op10_chat, op11_lexical_search, op12_token_counts, op13_clusters)
 }
-ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_sharding": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op8_topk": OP8_SQL}
+ORACLE: dict[str, str] = {"op1_mixing": OP1_SQL, "op5_sharding": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op8_topk": OP8_SQL, "op11_lexical_search": OP11_SQL, "op13_clusters": OP13_SQL}

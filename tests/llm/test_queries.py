@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     found = __spark_entry__.queries()
-    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in found)] == [] and "pipeline" in found
+    assert [n for n in range(1, 14) if not any(k.startswith(f"op{n}_") for k in found)] == [] and "pipeline" in found
 
 
 def test_pipeline_stages(spark):
