@@ -1,68 +1,123 @@
 """Connected components, region models, growth and merging.
 
-Masks become horizontal runs (gaps and islands); runs that touch in the next row are linked by an interval join; large-star and
-small-star steps turn links into one star per component. So no step needs a whole picture in one task. Only merging, whose result
+Components are found within bands of rows first; then links across the bands' borders join groups of bands, and groups of groups.
+Growth settles all its rounds within bands that overlap. So no step needs a whole picture in one task. Only merging, whose result
 depends on the order of pairs, works per picture in one group, and there on pairs of regions and their models, never on pixels.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, LAB
 from ..storage import stored
+from .bands import dealt_bands, plane
 
 _NODE = 1 << 32  # a run is the number y * _NODE + x0, so the least node of a region is its first run in raster order
+#: Rows of a band; bands that one step joins; columns of a bucket in which runs meet across a border.
+BAND, GROUP, BUCKET = 64, 32, 64
+_RUNS = "image_id string, band int, y int, x0 int, x1 int, node long, root long"
+_MOVED = "image_id string, node long, root long"
 
 
-def mask_runs(df: DataFrame, mask: str) -> DataFrame:
-    """image_id, y, x0, x1, node of the maximal horizontal runs of true pixels."""
-    row = Window.partitionBy("image_id", "y").orderBy("x")
-    on = df.where(F.col(mask)).select(*KEY).withColumn("_isle", F.col("x") - F.row_number().over(row))
-    runs = on.groupBy("image_id", "y", "_isle").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_isle")
-    return runs.withColumn("node", F.col("y").cast("long") * _NODE + F.col("x0"))
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    at = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(start - at, size)
 
 
-def run_links(runs: DataFrame) -> DataFrame:
-    """image_id, u, v (u > v): runs of neighbouring rows that share a column."""
-    up = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("node").alias("v"))
-    both = runs.join(up, ["image_id", "y"]).where("p0 <= x1 and x0 <= p1")
-    return both.select("image_id", F.col("node").alias("u"), "v")
+def _union(u: np.ndarray, v: np.ndarray) -> dict[int, int]:
+    """Node to the least node that links (u, v) join it with; nodes of links only."""
+    above: dict[int, int] = {}
 
+    def root(i: int) -> int:
+        above.setdefault(i, i)
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("image_id", F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = both.where("v > u").select("image_id", F.col("u").alias("n"), F.col("v").alias("far")).join(least, ["image_id", "n"])
-    return moved.select("image_id", F.col("far").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    for a, b in zip(u.tolist(), v.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            above[max(a, b)] = min(a, b)
+    return {i: root(i) for i in above}
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("image_id", "u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, ["image_id", "u"]).select("image_id", F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("image_id", "u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _local(part: pd.DataFrame) -> pd.DataFrame:
+    """Runs of a band's true pixels, with the first run of the region that each belongs to within the band."""
+    at = np.sort(part["y"].to_numpy().astype(np.int64) * _NODE + part["x"].to_numpy())
+    first = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+    node, last = at[first], at[np.r_[first[1:], len(at)] - 1]
+    y, x0, x1 = node // _NODE, node % _NODE, last % _NODE
+    # a run meets those of the row above that begin before its end and end after its beginning
+    lo, hi = np.searchsorted(last, node - _NODE), np.searchsorted(node, last - _NODE, side="right")
+    size = np.maximum(hi - lo, 0)
+    roots = _union(np.repeat(node, size), node[_spans(lo, size)])
+    root = np.array([roots.get(n, n) for n in node.tolist()], np.int64)
+    return pd.DataFrame({"image_id": part["image_id"].iloc[0], "band": part["band"].iloc[0], "y": y, "x0": x0, "x1": x1, "node": node, "root": root})
+
+
+def band_runs(df: DataFrame, mask: str) -> DataFrame:
+    """image_id, band, y, x0, x1, node, root of the maximal horizontal runs of true pixels, root within the band."""
+    on = df.where(F.col(mask)).select(*KEY, F.expr(f"y div {BAND}").cast("int").alias("band"))
+    return on.groupBy("image_id", "band").applyInPandas(_local, _RUNS)
+
+
+def border_links(runs: DataFrame) -> DataFrame:
+    """image_id, band, u, v: roots of runs that touch across the border above the band. Runs meet in buckets of columns, so never all of a row with all of the next."""
+    bucket = F.explode(F.expr(f"sequence(x0 div {BUCKET}, x1 div {BUCKET})")).alias("b")
+    low = runs.where(f"y % {BAND} = 0").select("image_id", "band", "x0", "x1", F.col("root").alias("u"), bucket)
+    up = runs.where(f"y % {BAND} = {BAND - 1}").select("image_id", (F.col("band") + 1).alias("band"), F.col("x0").alias("p0"), F.col("x1").alias("p1"), F.col("root").alias("v"), bucket)
+    return low.join(up, ["image_id", "band", "b"]).where("p0 <= x1 and x0 <= p1").select("image_id", "band", "u", "v").distinct()
+
+
+def _joined(part: pd.DataFrame) -> pd.DataFrame:
+    moved = {n: r for n, r in _union(part["u"].to_numpy(), part["v"].to_numpy()).items() if n != r}
+    return pd.DataFrame({"image_id": part["image_id"].iloc[0], "node": list(moved), "root": list(moved.values())})
 
 
 def closure(links: DataFrame) -> DataFrame:
-    """image_id, node, root for every node with a link; links: image_id, u, v with u > v."""
-    edges, before = stored(links.distinct(), "star"), None
-    while True:
-        sign = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if sign == before or not sign["n"]:
-            return edges.select("image_id", F.col("u").alias("node"), F.col("v").alias("root"))
-        before, edges = sign, stored(_small_star(_large_star(edges)), "star")
+    """image_id, node, root for every root of a band that belongs to an earlier one. links: image_id, band, u, v, a stored table.
+
+    GROUP neighbouring bands are joined by one task, then GROUP such groups, and so on: the number of steps is the logarithm of the
+    picture's height, and a task sees the links of GROUP - 1 borders only.
+    """
+    last, size, moved = links.agg(F.max("band")).first()[0], 1, None
+    while last is not None and size <= last:
+        inner = f"(band - 1) div {size} <> band div {size} and (band - 1) div {size * GROUP} = band div {size * GROUP}"
+        here = links.where(inner).select("image_id", F.expr(f"band div {size * GROUP}").alias("g"), "u", "v")
+        for end in "uv" if moved is not None else "":
+            now = moved.select("image_id", F.col("node").alias(end), F.col("root").alias("_r"))
+            here = here.join(now, ["image_id", end], "left").withColumn(end, F.coalesce("_r", end)).drop("_r")
+        new = stored(here.groupBy("image_id", "g").applyInPandas(_joined, _MOVED), "joined")
+        if moved is None:
+            moved = new
+        else:
+            later = new.select("image_id", F.col("node").alias("root"), F.col("root").alias("_r"))
+            moved = moved.join(later, ["image_id", "root"], "left").select("image_id", "node", F.coalesce("_r", "root").alias("root"))
+            moved = stored(moved.unionByName(new), "joined")
+        size *= GROUP
+    return links.sparkSession.createDataFrame([], _MOVED) if moved is None else moved
 
 
 def label_components(df: DataFrame, mask: str) -> DataFrame:
-    """image_id, y, x, label of true pixels: 4-connected regions, numbered from 0 by their first run in raster order."""
-    runs = stored(mask_runs(df, mask), "runs")
-    roots = runs.join(closure(run_links(runs)), ["image_id", "node"], "left").withColumn("root", F.coalesce("root", "node"))
-    roots = stored(roots.select("image_id", "y", "x0", "x1", "root"), "rooted")
-    order = Window.partitionBy("image_id").orderBy("root")
-    names = roots.select("image_id", "root").distinct().withColumn("label", (F.row_number().over(order) - 1).cast("int"))
-    named = roots.join(names, ["image_id", "root"])
+    """image_id, y, x, label of true pixels: 4-connected regions, numbered from 0 by their first run in raster order.
+
+    Regions within a band are found by one task, those that cross borders by `closure`; numbers come from counts by row, summed down the picture.
+    """
+    runs = stored(band_runs(df, mask), "runs")
+    moved = closure(stored(border_links(runs), "links"))
+    firsts = runs.where("node = root").select("image_id", "y", "node").join(moved.select("image_id", "node"), ["image_id", "node"], "left_anti")
+    firsts = stored(firsts, "firsts")
+    down = Window.partitionBy("image_id").orderBy("y").rowsBetween(Window.unboundedPreceding, -1)  # a row for each row of the picture
+    before = firsts.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("_k")).withColumn("_k", F.coalesce(F.sum("_k").over(down), F.lit(0)))
+    along = F.row_number().over(Window.partitionBy("image_id", "y").orderBy("node"))
+    names = firsts.withColumn("_i", along).join(before, ["image_id", "y"]).select("image_id", F.col("node").alias("root"), (F.col("_k") + F.col("_i") - 1).cast("int").alias("label"))
+    whole = moved.select("image_id", F.col("node").alias("root"), F.col("root").alias("_r"))
+    named = runs.join(whole, ["image_id", "root"], "left").withColumn("root", F.coalesce("_r", "root")).join(names, ["image_id", "root"])
     return named.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
 
 
@@ -104,33 +159,82 @@ def plane_field(labelled: DataFrame, planes: DataFrame, cols: tuple = LAB) -> Da
     return both.select(*KEY, "label", *(plane_at(c).alias(c) for c in cols))
 
 
-def grow(df: DataFrame, models: DataFrame, tol: float, planes: bool, rounds: int | None = None) -> DataFrame:
+def _grown(cols: list[str], planes: bool, tol: float, most: int, rows: int):
+    """Growth in one band: all rounds at once, since what a round does is known from `most` rows around the band."""
+
+    def work(part: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        image_id, band = part["image_id"].iloc[0], int(part["band"].iloc[0])
+        y0, x0 = int(part["y"].min()), int(part["x"].min())
+        shape = int(part["y"].max()) - y0 + 1, int(part["x"].max()) - x0 + 1
+        h, w = shape
+        lab = np.stack([plane(part, c, y0, x0, shape).ravel() for c in LAB])
+        there = np.zeros(shape, bool)
+        there[part["y"] - y0, part["x"] - x0] = True
+        label = np.full(h * w, -1, np.int64)
+        seeds = part[part["label"].notna()]
+        at = models["label"].to_numpy()
+        by, order = models[cols].to_numpy(np.float64), np.argsort(at)
+        label[(seeds["y"].to_numpy() - y0) * w + seeds["x"].to_numpy() - x0] = order[np.searchsorted(at, seeds["label"].to_numpy().astype(np.int64), sorter=order)]
+        open_ = there.ravel() & (label < 0)
+        born = np.where(label >= 0, 0, -1)
+        front = np.flatnonzero(label >= 0)
+        for turn in range(1, most + 1):
+            asked = []
+            for o, (dy, dx) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1))):  # the front lies below, above, right, left
+                y, x = front // w - dy, front % w - dx
+                ok = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+                p = y[ok] * w + x[ok]
+                new = open_[p]
+                asked.append((p[new], label[front[ok][new]], np.full(int(new.sum()), o)))
+            p, m, o = (np.concatenate(a) for a in zip(*asked))
+            if planes:
+                ry, rx = p // w + y0 - by[m, cols.index("cy")], p % w + x0 - by[m, cols.index("cx")]
+                at_p = [by[m, cols.index(f"off_{c}")] + by[m, cols.index(f"dy_{c}")] * ry + by[m, cols.index(f"dx_{c}")] * rx for c in LAB]
+            else:
+                at_p = [by[m, cols.index(f"m_{c}")] for c in LAB]
+            d = np.max([np.abs(v[p] - q) for v, q in zip(lab, at_p)], axis=0) if len(p) else np.zeros(0)
+            near = d <= tol
+            p, m, o, d = p[near], m[near], o[near], d[near]
+            first = np.lexsort((o, d, p))
+            first = first[np.r_[True, p[first][1:] != p[first][:-1]]] if len(p) else first
+            front = p[first]
+            if not len(front):
+                break
+            label[front], born[front], open_[front] = m[first], turn, False
+        own = np.flatnonzero(label >= 0)
+        y, x = own // w + y0, own % w + x0
+        inside = (y >= band * rows) & (y < (band + 1) * rows)
+        own, y, x = own[inside], y[inside], x[inside]
+        return pd.DataFrame({"image_id": image_id, "y": y, "x": x, "label": at[label[own]], "born": born[own]})
+
+    return work
+
+
+def grow(df: DataFrame, models: DataFrame, tol: float, planes: bool, rounds: int | None = None, rows: int = 128) -> DataFrame:
     """image_id, y, x, label after synchronous growth of the seeds.
 
     df: a dense grid with Lab and `label` (null: not a seed), stored. An unknown pixel looks at its neighbours below, above, right and
     left; the least worst-channel distance to the neighbour's model wins, the first on ties, and it joins if that is at most
     tol. A round that adds no pixel or under a thousandth of the picture is not applied and ends the growth of that picture.
-    Models don't change meanwhile, so only pixels that the last round added are looked at from.
+    Models don't change meanwhile and a round reaches one pixel far, so a band's growth is settled by the rows that the rounds can reach
+    from: bands take these along and note each pixel's round. Counts by round over all bands then tell which rounds count.
     """
     cols = [c for c in models.columns if c.startswith(("m_", "off_", "dy_", "dx_")) or c in ("cy", "cx")]
-    models = stored(models.select("image_id", "label", *cols), "models")
-    size = stored(df.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"), (F.max("y") + 1).alias("_h")), "sizes")
-    size = size.withColumn("_most", F.lit(rounds) if rounds else F.greatest(F.lit(16), F.least(F.lit(48), F.expr("_h div 32 + 8"))))
-    known = stored(df.where("label is not null").select(*KEY, "label"), "seeds")
-    unknown = df.where("label is null").select(*KEY, *LAB)
-    all_known, front, done = known, known, 0
-    moves = F.array(*(F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(i).alias("o")) for i, (dy, dx) in enumerate(((1, 0), (-1, 0), (0, 1), (0, -1)))))
-    far = lambda c: F.abs(F.col(c) - (plane_at(c) if planes else F.col(f"m_{c}")))
-    while True:
-        asked = front.withColumn("m", F.explode(moves)).select("image_id", (F.col("y") + F.col("m.dy")).alias("y"), (F.col("x") + F.col("m.dx")).alias("x"), "label", "m.o")
-        near = unknown.join(asked, list(KEY)).join(all_known.select(*KEY), list(KEY), "left_anti").join(models, ["image_id", "label"])
-        near = near.withColumn("d", F.greatest(*(far(c) for c in LAB))).where(F.col("d") <= tol)
-        best = stored(near.groupBy(*KEY).agg(F.min_by("label", F.struct("d", "o")).alias("label")), "grown")
-        full = best.groupBy("image_id").count().join(size, "image_id").where((F.col("count") >= 0.001 * F.col("_n")) & (F.col("_most") > done)).select("image_id")
-        front = stored(best.join(full, "image_id", "left_semi"), "front")
-        if front.isEmpty():
-            return all_known
-        all_known, done = all_known.unionByName(front), done + 1
+    size = df.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"), (F.max("y") + 1).alias("_h"))
+    size = stored(size.withColumn("_most", F.lit(rounds) if rounds else F.greatest(F.lit(16), F.least(F.lit(48), F.expr("_h div 32 + 8")))), "sizes")
+    most = rounds or size.agg(F.coalesce(F.max("_most"), F.lit(16))).first()[0]  # 48 at most
+    held = dealt_bands(df.select(*KEY, *LAB, "label"), most, rows)
+    asked = held.where("label is not null").select("image_id", "band", "label").distinct()
+    asked = stored(asked.join(models.select("image_id", "label", *cols), ["image_id", "label"]), "seeded-bands")
+    # bands that no seed can reach stay as they are
+    held = held.join(asked.select("image_id", "band").distinct(), ["image_id", "band"], "left_semi")
+    grown = held.groupBy("image_id", "band").cogroup(asked.groupBy("image_id", "band")).applyInPandas(_grown(cols, planes, tol, most, rows), "image_id string, y int, x int, label int, born int")
+    grown = stored(grown, "grown")
+    added = grown.groupBy("image_id", "born").agg(F.count(F.lit(1)).alias("_k"))
+    turns = size.select("image_id", "_n", F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("born")).join(added, ["image_id", "born"], "left")
+    ends = turns.where("coalesce(_k, 0) < 0.001 * _n or coalesce(_k, 0) = 0").groupBy("image_id").agg(F.min("born").alias("_end"))
+    ends = size.join(ends, "image_id", "left").select("image_id", F.coalesce("_end", F.col("_most") + 1).alias("_end"))
+    return grown.join(ends, "image_id").where("born < _end").select(*KEY, "label")
 
 
 def neighbour_pairs(labels: DataFrame) -> DataFrame:

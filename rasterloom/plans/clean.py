@@ -13,6 +13,7 @@ from ..operators import alpha, regions, stencil
 from ..operators.bilateral import smooth
 from ..operators.metrics import auto_radius as radius_of
 from ..operators.metrics import robust_sigma
+from ..operators.quantiles import exact_quantiles
 from ..storage import stored
 
 
@@ -41,7 +42,8 @@ def snap(lab: DataFrame, radius: int, opts: Options) -> tuple[DataFrame, DataFra
     models = stored(regions.component_planes(labelled) if planes else regions.component_means(labelled), "models")
     good = models.where(F.col("size") >= opts.min_block)
     if planes:
-        limit = good.groupBy("image_id").agg(F.greatest(F.lit(0.5), F.median("rms") * opts.plane_tol).alias("_limit"))
+        middle = exact_quantiles(good, ["image_id"], "rms", [0.5])
+        limit = middle.select("image_id", F.greatest(F.lit(0.5), F.col("q")[0] * opts.plane_tol).alias("_limit"))
         good = good.join(limit, "image_id").where("rms <= _limit")
     good = stored(good.select("image_id", "label"), "seeds")
     seeds = labelled.where("valid").join(good, ["image_id", "label"], "left_semi").select(*KEY, "label")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from . import fixtures
 from .functions import color
 from .model import KEY, LAB, Options
 from .operators import alpha, bilateral, figures, metrics, regions, stencil
+from .operators import strips as packed
 from .plans import clean as plan
 from .sources import images
 from .storage import stored
@@ -350,6 +352,13 @@ def clean_default(spark, d):
     return plan.clean(fixtures.raster(spark, d))
 
 
+@query(_clean_sql("normalize"))
+def clean_packed(spark, d):
+    """The same on strips of packed rows, in double floats."""
+    strips = packed.from_pixels(fixtures.raster(spark, d))
+    return packed.to_pixels(packed.clean_strips(strips, kind=np.float64))
+
+
 @query(_clean_sql("flatten"))
 def clean_flatten(spark, d):
     return plan.clean(fixtures.raster(spark, d), Options(alpha_mode="flatten"))
@@ -436,13 +445,34 @@ def _seeded(spark, d) -> tuple[DataFrame, DataFrame]:
     return held, held.where("label is not null")
 
 
-@query()
+_SEEDS = f"{PX}, {DIM}, u0 as (select *, a >= 24 valid from px), {_lab_sql('lab', 'u0', where='valid')}, sd as (select *, (y // 20) * 7 + (x // 20) as label from lab where valid and y % 20 between 6 and 13 and x % 20 between 6 and 13)"
+
+
+def _grow_sql(models: str, at: dict[str, str], tol: float, rounds: int = 48) -> str:
+    """Round by round: c<i> are the pixels that would join in round i, f<i> those that do, k<i> all that have a label by then."""
+    d = f"greatest({', '.join(f'abs(p.{c} - ({at[c]}))' for c in LAB)})"
+    out = [f"with {_SEEDS}, {models}, ct as (select h * w n, greatest(16, least(48, h // 32 + 8)) most from dim)", "f0 as materialized (select y, x, label from sd)", "k0 as materialized (select * from f0)"]
+    for i in range(1, rounds + 1):
+        out += [
+            f"""c{i} as materialized (select y, x, label from (select p.y, p.x, f.label, row_number() over (partition by p.y, p.x order by {d}, o) i
+ from f{i - 1} f, (values (1, 0, 0), (-1, 0, 1), (0, 1, 2), (0, -1, 3)) t(dy, dx, o) join lab p on p.y = f.y - t.dy and p.x = f.x - t.dx join md on md.label = f.label
+ where {d} <= {tol} and not exists (select 1 from k{i - 1} k where k.y = p.y and k.x = p.x)) where i = 1)""",
+            f"f{i} as materialized (select c.* from c{i} c, ct where {i} <= most and (select count(*) from c{i}) >= 0.001 * n)",
+            f"k{i} as materialized (select * from k{i - 1} union all select * from f{i})",
+        ]
+    return ", ".join(out) + f" select 'orders' image_id, y, x, label::int as label from k{rounds}"
+
+
+_MEANS = f"md as (select label, {', '.join(f'avg({c}) m_{c}' for c in LAB)} from sd group by 1)"
+
+
+@query(_grow_sql(_MEANS, {c: f"m_{c}" for c in LAB}, 3.0))
 def grow_labels(spark, d):
     held, seeds = _seeded(spark, d)
     return regions.grow(held, regions.component_means(seeds), 3.0, planes=False)
 
 
-@query()
+@query(_grow_sql(_PLANES.replace("pl as", "md as").replace("from lab", "from sd"), {c: f"off_{c} + dy_{c} * (p.y - cy) + dx_{c} * (p.x - cx)" for c in LAB}, 3.0))
 def grow_planes(spark, d):
     held, seeds = _seeded(spark, d)
     return regions.grow(held, regions.component_planes(seeds), 3.0, planes=True)

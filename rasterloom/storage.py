@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -31,3 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """df, a stored table, broadcast if it has at most limit rows of a few numbers; else its join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
