@@ -28,3 +28,13 @@ def words_expr(text: Column) -> Column:
 def id_text(col: Column) -> Column:
     """An id as text, null as the empty text, so that hashes of ids are never null."""
     return F.coalesce(col.cast("string"), F.lit(""))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many `_` behind it as make it differ from every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import fresh, maybe_broadcast, stored
 from .near_dup import _mix
 
 WINDOW, NEED, LEAST, VERBATIM, FILTER_BITS = 8, 6, 5, 24, 24
@@ -221,5 +221,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id has a leak; rows of null id go only if a row of null id leaks."""
-    ids = stored(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_dc_id")).distinct(), "leak-ids")
-    return docs.join(maybe_broadcast(ids), F.col(id_col).eqNullSafe(F.col("_dc_id")), "left_anti")
+    (name,) = fresh(docs, "_dc_id")
+    ids = stored(leaks(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(name)).distinct(), "leak-ids")
+    return docs.join(maybe_broadcast(ids), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

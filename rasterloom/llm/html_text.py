@@ -12,7 +12,7 @@ reader comments go by element, role, or class and id (whole names, split at - an
 <main> (or an element so named) the rest outside it.
 
 Cases: null or empty html gives an empty text; a closing tag closes up to its opening one, a closing tag of an inline element never a block; a block closes an open <p>;
-an unclosed comment, script or tag runs to the end; elements deeper than DEPTH become siblings; pages with null url share
+an unclosed comment, script or tag runs to the end; elements may stand at any depth (a stack entry each); pages with null url share
 the host ''; rows are kept one by one, with null or repeated ids too; an empty table gives no rows.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import maybe_broadcast, stored
 
-MIN_PAGES, SHARE, CERTAIN, DEPTH = 5, 0.01, 0.5, 512
+MIN_PAGES, SHARE, CERTAIN = 5, 0.01, 0.5
 #: Hashes of template subtrees (8 bytes each) that every task may get; beyond it they are joined to the pages.
 TEMPLATE_KEYS = 1_000_000
 # Element names and the words that name page parts.
@@ -112,7 +112,7 @@ class Page:
         self._open: list[tuple[str, int, bool, bool, bool, bool]] = []  # tag, subtree, noise, in main, a main element itself, in an inline element that is noise
         self._at: dict[str, list[int]] = {}  # tag: places in _open
         self._blocks: list[int] = []  # places of block elements in _open
-        self._said: list[xxhash.xxh3_64] = []  # of the open subtrees
+        self._said: list[int] = []  # hashes of the open subtrees so far
         self._read(source)
         self._flush()
         self._cut(0)
@@ -182,8 +182,6 @@ class Page:
         return at
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        if len(self._open) >= DEPTH:
-            self._cut(len(self._open) - 1)
         _, subtree, noise, main, _, mute = self._open[-1] if self._open else _TOP
         drop, holds = _judge(tag, attrs, main, self._names)
         holds = holds and not noise
@@ -195,7 +193,7 @@ class Page:
                 self.own.append(main or tag in _TEXT_LEVEL)
                 self.hashes.append(0)
                 subtree = len(self.parent) - 1
-                self._said.append(xxhash.xxh3_64(f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "surrogatepass"), self._host))
+                self._said.append(xxhash.xxh3_64_intdigest(f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "surrogatepass"), self._host))
         self._open.append((tag, subtree, noise or drop, main or holds, holds, mute or drop and tag not in _BLOCK))
 
     def _flush(self) -> None:
@@ -205,7 +203,7 @@ class Page:
             _, subtree, noise, main, _, _ = self._open[-1] if self._open else _TOP
             self.blocks.append((words, subtree, noise, main))
             if self._said:
-                self._said[-1].update(b"\x00" + words.encode("utf-8", "surrogatepass"))
+                self._said[-1] = xxhash.xxh3_64_intdigest(b"\x00" + words.encode("utf-8", "surrogatepass"), self._said[-1])
 
     def _cut(self, i: int) -> None:
         """Close all from place i in _open on."""
@@ -217,9 +215,9 @@ class Page:
             if tag in _BLOCK:
                 self._blocks.pop()
                 if tag not in ("html", "body"):
-                    said = self._said.pop().intdigest()
+                    said = self._said.pop()
                     if self._said:
-                        self._said[-1].update(b"\x01" + said.to_bytes(8, "little"))
+                        self._said[-1] = xxhash.xxh3_64_intdigest(b"\x01" + said.to_bytes(8, "little"), self._said[-1])
                     self.hashes[subtree] = 0 if holds else said
 
     def _end(self, tag: str) -> None:

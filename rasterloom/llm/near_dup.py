@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import fresh, maybe_broadcast, stored
 from .components import components
 
 K, PICK, SKETCHES, SIMILARITY = 4, 2, 64, 0.8
@@ -510,12 +510,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each class: its least id. Rows with null id stay; rows that repeat an id count as one."""
-    kept = stored(classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias("_nd_id")).distinct(), "omh-kept")
-    out = docs.join(maybe_broadcast(kept), F.col(id_col) == F.col("_nd_id"), "left_semi")
-    again = stored(out.groupBy(F.col(id_col).alias("_nd_id")).count().where("count > 1").select("_nd_id"), "omh-repeated")
+    name, row = fresh(docs, "_nd_id", "_nd_row")
+    kept = stored(classes(docs, id_col, text_col).where("doc_id = class_id").select(F.col("doc_id").alias(name)).distinct(), "omh-kept")
+    out = docs.join(maybe_broadcast(kept), F.col(id_col) == F.col(name), "left_semi")
+    again = stored(out.groupBy(F.col(id_col).alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name), "omh-repeated")
     if again.limit(1).count():  # of rows with one id the least stays
         same = maybe_broadcast(again)
         held = F.struct(*docs.columns)
-        least_row = out.join(same, F.col(id_col) == F.col("_nd_id"), "left_semi").groupBy(F.col(id_col).alias("_nd_id")).agg(F.min_by(held, F.to_json(held)).alias("_nd_row"))
-        out = out.join(same, F.col(id_col) == F.col("_nd_id"), "left_anti").unionByName(least_row.select("_nd_row.*"))
+        least_row = out.join(same, F.col(id_col) == F.col(name), "left_semi").groupBy(F.col(id_col).alias(name)).agg(F.min_by(held, F.to_json(held)).alias(row))
+        out = out.join(same, F.col(id_col) == F.col(name), "left_anti").unionByName(least_row.select(f"{row}.*"))
     return out.unionByName(docs.where(F.col(id_col).isNull()))

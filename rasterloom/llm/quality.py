@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 BITS, MAX_TRAIN, GRADES = 18, 20_000, 3
 _TOKEN_END = re.compile(r"[^\w\s]+$")
 
@@ -173,11 +175,14 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """buckets (array of int), grade of at most `most` labelled rows."""
-    named = labels.select(F.col(id_col).alias("_q_id"), grade_of(F.col("quality"), F.col("toxic")).alias("_q_grade")).where("_q_grade is not null and _q_id is not null")
-    few = named.orderBy(F.xxhash64("_q_id", F.lit(11)), "_q_id", "_q_grade").limit(most)
+    """buckets (array of int), grade, h (hash of the buckets) of at most `most` labelled rows."""
+    label, grade = fresh(docs, "_q_id", "_q_grade")
+    named = labels.select(F.col(id_col).alias(label), grade_of(F.col("quality"), F.col("toxic")).alias(grade)).where(F.col(label).isNotNull() & F.col(grade).isNotNull())
+    few = named.orderBy(F.xxhash64(label, F.lit(11)), label, grade).limit(most)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_q_id")).select(_buckets(text).alias("buckets"), F.col("_q_grade").alias("grade"))
+    rows = docs.join(F.broadcast(few), F.col(id_col) == F.col(label)).select(_buckets(text).alias("buckets"), F.col(grade).alias("grade"))
+    # an id on several documents gives a row for each
+    return rows.withColumn("h", F.xxhash64("buckets")).orderBy("h", "grade").limit(most)
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -188,7 +193,7 @@ def _buckets(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    got = training_rows(docs, labels, most, id_col, text_col).withColumn("h", F.xxhash64("buckets")).toArrow().combine_chunks()
+    got = training_rows(docs, labels, most, id_col, text_col).toArrow().combine_chunks()
     if not got.num_rows:
         return fit(*(np.empty(0, np.int32),) * 2, np.empty(0, np.int64), np.empty(0, np.int64))
     buckets = got.column("buckets").chunk(0)
@@ -217,6 +222,7 @@ def scorer(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
 def select_good(docs: DataFrame, model: Model, cut: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with `expected_grade`, `p_good` and `keep` (p_good >= cut); columns of docs with these names are replaced."""
-    docs = docs.drop("expected_grade", "p_good", "keep", "_q")
-    scored = docs.withColumn("_q", scorer(docs, model, text_col))
-    return scored.select(*docs.columns, "_q.expected_grade", "_q.p_good", (F.col("_q.p_good") >= cut).alias("keep"))
+    docs = docs.drop("expected_grade", "p_good", "keep")
+    (q,) = fresh(docs, "_q")
+    scored = docs.withColumn(q, scorer(docs, model, text_col))
+    return scored.select(*docs.columns, f"{q}.expected_grade", f"{q}.p_good", (F.col(f"{q}.p_good") >= cut).alias("keep"))

@@ -6,7 +6,8 @@ bytes exceed the limit, so a document's shard is its shortest hash prefix whose
 
 Cases: null text has 0 bytes; a null key hashes as ''; a single document larger than the limit is a shard of its own
 page; rows that no bit can separate (equal keys, beyond 60 bits) are dealt to overflow pages of that bucket by
-size, each within the limit; an empty table gives no rows. Internal columns start with `_sh_`.
+size, each within the limit; an empty table gives no rows. A row of the input travels as one struct, so that columns of any name
+and type may stand in it.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("shard", "shard_depth", "shard_bytes")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
-    sized = docs.withColumns({"_sh_h": hash_bits(F.col(key_col)), "_sh_bytes": size})
+    sized = docs.select(F.struct(*docs.columns).alias("_sh_row"), hash_bits(F.col(key_col)).alias("_sh_h"), size.alias("_sh_bytes"))
     slim = stored(sized.select("_sh_h", "_sh_bytes"), "shard-rows")
     out = sized.withColumn("_sh_depth", F.lit(None).cast("int"))
     for cells, bits in directory(slim, limit):
@@ -77,25 +78,30 @@ def assign(docs: DataFrame, limit: int, key_col: str = "doc_id", text_col: str =
         out = out.withColumn("_sh_depth", F.coalesce("_sh_depth", "_sh_found")).drop("_sh_cell", "_sh_found")
     bits60 = F.lpad(F.conv(F.col("_sh_h").cast("string"), 10, 2), HASH_BITS, "0")
     fits = out.where("_sh_depth is not null").withColumn("shard", F.substring(bits60, F.lit(1), F.col("_sh_depth")))
-    rest = _overflow(out.where("_sh_depth is null").drop("_sh_depth"), limit, docs.columns)
-    rest = rest.withColumn("shard", F.concat(bits60, F.lit("/"), F.col("_sh_page").cast("string"))).drop("_sh_page")
-    out = fits.unionByName(rest.withColumn("_sh_depth", F.lit(HASH_BITS)))
-    return out.select(*docs.columns, F.col("_sh_depth").alias("shard_depth"), "shard", F.col("_sh_bytes").alias("shard_bytes"))
+    whole = slim.groupBy("_sh_h").agg(F.sum("_sh_bytes").alias("b")).where(F.col("b") > limit).limit(1).count()
+    if whole:
+        rest = _overflow(out.where("_sh_depth is null").drop("_sh_depth"), limit)
+        rest = rest.withColumn("shard", F.concat(bits60, F.lit("/"), F.col("_sh_page"))).drop("_sh_page")
+        fits = fits.unionByName(rest.withColumn("_sh_depth", F.lit(HASH_BITS)))
+    return fits.select("_sh_row.*", F.col("_sh_depth").alias("shard_depth"), "shard", F.col("_sh_bytes").alias("shard_bytes"))
 
 
-def _overflow(rows: DataFrame, limit: int, columns: list[str]) -> DataFrame:
+def _overflow(rows: DataFrame, limit: int) -> DataFrame:
     """Pages for rows whose 60 bits are equal and together exceed the limit.
 
-    Equal rows are first counted (map-side), so one repeated row is one counted row here. Sizes within a hash go to
-    size classes (powers of two): a page of class c takes limit div 2**(c+1) rows at least one, numbered in order.
+    Sizes within a hash go to size classes (powers of two): a page of class c takes limit div 2**(c+1) rows, one at least, numbered in
+    the order of the stored rows. Each part of the stored table numbers its own rows, from where the parts before it end, so
+    that no task meets all rows of a hash.
     """
-    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_sh_n"))
     klass = F.floor(F.log2(F.greatest(F.col("_sh_bytes"), F.lit(1)))).cast("int")
-    counted = counted.withColumn("_sh_class", klass)
-    counted = counted.withColumn("_sh_per", F.greatest(F.lit(1), F.expr(f"cast({int(limit)} div shiftleft(2L, _sh_class) as bigint)")))
-    order = Window.partitionBy("_sh_h", "_sh_class").orderBy(F.xxhash64(*[F.col(c) for c in rows.columns]))
-    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("_sh_from", F.coalesce(F.sum("_sh_n").over(ahead), F.lit(0)))
-    each = counted.withColumn("_sh_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_sh_n") - 1)))
-    page = F.concat_ws("-", "_sh_class", F.expr("(_sh_from + _sh_i) div _sh_per"))
-    return each.withColumn("_sh_page", page).select(*columns, "_sh_h", "_sh_bytes", "_sh_page")
+    held = stored(rows.withColumns({"_sh_class": klass, "_sh_i": F.monotonically_increasing_id()}), "shard-overflow")
+    held = held.withColumn("_sh_part", F.shiftright("_sh_i", 33))
+    keys = ["_sh_h", "_sh_class"]
+    before = Window.partitionBy(*keys).orderBy("_sh_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy(*keys, "_sh_part").agg(F.count(F.lit(1)).alias("_sh_n"))  # a row for each part
+    parts = parts.withColumn("_sh_from", F.coalesce(F.sum("_sh_n").over(before), F.lit(0))).drop("_sh_n")
+    slim = held.select(*keys, "_sh_part", "_sh_i").withColumn("_sh_at", F.row_number().over(Window.partitionBy(*keys, "_sh_part").orderBy("_sh_i")) - 1)
+    per = F.greatest(F.lit(1), F.expr(f"cast({int(limit)} div shiftleft(2L, _sh_class) as bigint)"))
+    page = F.concat_ws("-", F.col("_sh_class").cast("string"), F.floor((F.col("_sh_from") + F.col("_sh_at")) / per).cast("string"))
+    paged = slim.join(maybe_broadcast(stored(parts, "shard-parts")), [*keys, "_sh_part"]).select("_sh_i", page.alias("_sh_page"))
+    return held.join(paged, "_sh_i").drop("_sh_i", "_sh_part", "_sh_class")
