@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontam, mixing, near_dup, quality, queries, sharding
-from rasterloom.llm.common import stored
+from rasterloom.llm.common import fresh, stored
 
 #: The mixing stage asks for as many tokens as there are, so that it re-weights rather than thins.
 STAGE_SHARE, STAGE_EPOCHS = 1.0, 4
@@ -24,7 +24,8 @@ STAGE_WEIGHTS: dict[tuple[str, ...], int] = {
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier selects."""
     model = quality.train(docs, queries.table(spark, sf_dir, "labels"))
-    kept = docs.withColumn("_q", quality.scorer(docs, model)).where(F.col("_q.p_good") >= 0.5)
+    (name,) = fresh(docs, "_q")
+    kept = docs.withColumn(name, quality.scorer(docs, model)).where(F.col(f"{name}.p_good") >= 0.5)
     return kept.select(*docs.columns)
 
 
@@ -42,10 +43,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents in the target mix: a row for each epoch that takes a document."""
     slim = stored(mixing.slim_rows(docs, queries.mix_tree()), "mix-rows")
     plan = mixing.leaf_plan(slim, STAGE_WEIGHTS, STAGE_SHARE, STAGE_EPOCHS, queries.MIX_SEED)
-    tree = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(mixing.LEVELS, queries.mix_tree())}
-    rows = docs.withColumns({"_mix_id": F.col("doc_id"), "_mix_tok": mixing.words_expr(F.col("text")), **tree})
+    tree = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(mixing.LEVELS, queries.mix_tree())]
+    rows = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").alias("_mix_id"), mixing.words_expr(F.col("text")).alias("_mix_tok"), *tree)
     taken = mixing.take(rows, plan, queries.MIX_SEED).where("_mix_n > 0")
-    return taken.withColumn("_mix_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select(*docs.columns)
+    return taken.withColumn("_mix_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n")))).select("_mix_row.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
