@@ -11,7 +11,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), cents.alias("c"))
 
 
-def _paint(rows: DataFrame, image: Column, grain: bool = True, gap: bool = True) -> DataFrame:
+def paint(rows: DataFrame, image: Column, grain: bool = True, gap: bool = True) -> DataFrame:
     """Pixels from k' (y, x) and c: blocks of 20 x 20, grain of two levels, a transparent margin with an alpha ramp."""
     g = F.col("c") % 5 - 2 if grain else F.lit(0)
     blk = F.expr("y div 20") * 7 + F.expr("x div 20")
@@ -27,13 +27,13 @@ def _paint(rows: DataFrame, image: Column, grain: bool = True, gap: bool = True)
 def raster(spark: SparkSession, sf_dir: str, grain: bool = True) -> DataFrame:
     """One picture, 100 wide. grain=False: the same without grain, an after picture in closed form."""
     at = _orders(spark, sf_dir).select(F.expr("cast(k div 100 as int)").alias("y"), F.expr("cast(k % 100 as int)").alias("x"), "c")
-    return _paint(at, F.lit("orders"), grain)
+    return paint(at, F.lit("orders"), grain)
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures of 50 x 50, without the low-alpha pixels of row 5."""
     at = _orders(spark, sf_dir).select(F.expr("k div 2500").alias("i"), F.expr("cast(k % 2500 div 50 as int)").alias("y"), F.expr("cast(k % 50 as int)").alias("x"), "c")
-    return _paint(at, F.concat(F.lit("img"), F.col("i").cast("string")), gap=False)
+    return paint(at, F.concat(F.lit("img"), F.col("i").cast("string")), gap=False)
 
 
 def ragged_mask() -> Column:

@@ -1,8 +1,8 @@
 """Connected components, region models, growth and merging.
 
 Components are found within bands of rows first; then links across the bands' borders join groups of bands, and groups of groups.
-Growth settles all its rounds within bands that overlap. So no step needs a whole picture in one task. Only merging, whose result
-depends on the order of pairs, works per picture in one group, and there on pairs of regions and their models, never on pixels.
+Growth settles all its rounds within bands that overlap. Merging, whose result depends on the order of pairs, works in clusters of regions
+whose models are near enough to merge at all. So no step needs a whole picture in one task.
 """
 
 from __future__ import annotations
@@ -248,11 +248,69 @@ def neighbour_pairs(labels: DataFrame) -> DataFrame:
     return pairs
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select("image_id", F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("image_id", F.col("u").alias("n")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    moved = both.where("v > u").select("image_id", F.col("u").alias("n"), F.col("v").alias("far")).join(least, ["image_id", "n"])
+    return moved.select("image_id", F.col("far").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("image_id", "u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, ["image_id", "u"]).select("image_id", F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("image_id", "u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def star_closure(links: DataFrame) -> DataFrame:
+    """image_id, node, root (the least of its component) for every node but the roots; links: image_id, u, v with u > v, of any shape."""
+    edges, before = stored(links.distinct(), "star"), None
+    while True:
+        sign = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("image_id", "u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if sign == before or not sign["n"]:
+            return edges.select("image_id", F.col("u").alias("node"), F.col("v").alias("root"))
+        before, edges = sign, stored(_small_star(_large_star(edges)), "star")
+
+
+def merge_clusters(models: DataFrame, pairs: DataFrame, within: dict[str, float]) -> DataFrame | None:
+    """image_id, label, cluster of the regions that could merge at all; None if none could. models, pairs: stored tables.
+
+    Regions merge only if the models of two regions of theirs are within the tolerances (column to tolerance). So clusters grow from single
+    regions: two that touch are joined if the boxes around their models are that near in every column, until no two are. What ordered merging
+    does in one cluster depends on no other.
+    """
+    def relabelled(df: DataFrame, roots: DataFrame, col: str) -> DataFrame:
+        now = roots.select("image_id", F.col("node").alias(col), F.col("root").alias("_r"))
+        return df.join(now, ["image_id", col], "left").withColumn(col, F.coalesce("_r", col)).drop("_r")
+
+    boxes = models.select("image_id", F.col("label").alias("c"), *(F.col(c).alias(f"{e}_{c}") for c in within for e in ("lo", "hi")))
+    links, member = stored(pairs.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "touching"), None
+    while True:
+        side = lambda n: boxes.select("image_id", F.col("c").alias(n), *(F.col(f"{e}_{c}").alias(f"{e}_{c}_{n}") for c in within for e in ("lo", "hi")))  # noqa: B023, E731
+        near = links.join(side("u"), ["image_id", "u"]).join(side("v"), ["image_id", "v"])
+        for c, tol in within.items():
+            near = near.where((F.col(f"lo_{c}_u") - F.col(f"hi_{c}_v") <= tol) & (F.col(f"lo_{c}_v") - F.col(f"hi_{c}_u") <= tol))
+        near = stored(near.select("image_id", "u", "v"), "near")
+        if near.isEmpty():
+            return member
+        roots = stored(star_closure(near), "clusters")
+        now = relabelled(boxes, roots, "c").groupBy("image_id", "c").agg(*(f(f"{e}_{c}").alias(f"{e}_{c}") for c in within for e, f in (("lo", F.min), ("hi", F.max))))
+        boxes = stored(now, "boxes")
+        links = relabelled(relabelled(links, roots, "u"), roots, "v").where("u <> v")
+        links = stored(links.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "touching")
+        new = roots.select("image_id", F.col("node").alias("label"), F.col("root").alias("cluster"))
+        heads = roots.select("image_id", F.col("root").alias("label"), F.col("root").alias("cluster")).distinct()
+        if member is None:
+            member = stored(new.unionByName(heads), "members")
+        else:
+            joined = new.unionByName(heads)
+            held = relabelled(member, roots, "cluster")
+            member = stored(held.unionByName(joined.join(held, ["image_id", "label"], "left_anti")), "members")
+
+
 def _merger(values: list[str], slopes: list[str], tol: float, slope_tol: float, passes: int):
     """Ordered union of touching regions whose models agree; a pass goes through the pairs in order and compares the roots' models."""
 
     def merge(models: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        models = models.sort_values("label")
         names = models["label"].tolist()
         at = {n: i for i, n in enumerate(names)}
         level, slope = models[values].to_numpy(), models[slopes].to_numpy() if slopes else None
@@ -274,15 +332,35 @@ def _merger(values: list[str], slopes: list[str], tol: float, slope_tol: float,
                     changed = True
             if not changed:
                 break
-        roots = [root(i) for i in range(len(names))]
-        new = {r: i for i, r in enumerate(sorted(set(roots)))}
-        merged = len(new) < len(names)
-        return pd.DataFrame({"image_id": models["image_id"].iloc[0] if len(models) else None, "label": names, "new": [new[r] for r in roots], "merged": merged})
+        roots = [names[root(i)] for i in range(len(names))]
+        return pd.DataFrame({"image_id": models["image_id"].iloc[0], "label": names, "root": roots})[lambda d: d["label"] != d["root"]]
 
     return merge
 
 
-_MAPPED = "image_id string, label int, new int, merged boolean"
+def _mapped(models: DataFrame, pairs: DataFrame, values: list[str], slopes: list[str], tol: float, slope_tol: float, passes: int) -> DataFrame:
+    """image_id, label, root of the regions that merge into another. models, pairs: stored tables."""
+    kind = "image_id string, label int, root int"
+    member = merge_clusters(models, pairs, dict.fromkeys(values, tol) | dict.fromkeys(slopes, slope_tol))
+    if member is None:
+        return models.sparkSession.createDataFrame([], kind)
+    of = lambda n: member.select("image_id", F.col("label").alias(n), F.col("cluster").alias(f"c_{n}"))
+    inside = pairs.join(of("u"), ["image_id", "u"]).join(of("v"), ["image_id", "v"]).where("c_u = c_v").select("image_id", F.col("c_u").alias("cluster"), "phase", "u", "v")
+    inside = stored(inside, "inside")
+    held = models.join(member, ["image_id", "label"])
+    work = _merger(values, slopes, tol, slope_tol, passes)
+    return stored(held.groupBy("image_id", "cluster").cogroup(inside.groupBy("image_id", "cluster")).applyInPandas(work, kind), "mapped")
+
+
+def _renumbered(names: DataFrame, mapped: DataFrame) -> DataFrame:
+    """image_id, label, new: the roots' places among the roots of a picture, counted bucket by bucket. names: image_id, label."""
+    roots = names.join(mapped, ["image_id", "label"], "left").withColumn("root", F.coalesce("root", "label"))
+    heads = roots.select("image_id", "root").distinct().withColumn("_b", F.expr("root div 4096"))
+    down = Window.partitionBy("image_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = heads.groupBy("image_id", "_b").agg(F.count(F.lit(1)).alias("_k")).withColumn("_k", F.coalesce(F.sum("_k").over(down), F.lit(0)))
+    along = F.row_number().over(Window.partitionBy("image_id", "_b").orderBy("root"))
+    new = heads.withColumn("_i", along).join(before, ["image_id", "_b"]).select("image_id", "root", (F.col("_k") + F.col("_i") - 1).cast("int").alias("new"))
+    return stored(roots.join(new, ["image_id", "root"]).select("image_id", "label", "new"), "renumbered")
 
 
 def merge_means(labels: DataFrame, means: DataFrame, lab: DataFrame, tol: float, passes: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -290,12 +368,13 @@ def merge_means(labels: DataFrame, means: DataFrame, lab: DataFrame, tol: float,
 
     Means stay as they were through all passes; at the end regions are renumbered and averaged anew. labels, lab: stored tables.
     """
-    work = _merger([f"m_{c}" for c in LAB], [], tol, 0.0, passes)
-    names = means.select("image_id", "label", *(f"m_{c}" for c in LAB))
-    mapped = stored(names.groupBy("image_id").cogroup(neighbour_pairs(labels).groupBy("image_id")).applyInPandas(work, _MAPPED), "mapped")
-    now = stored(labels.join(mapped, ["image_id", "label"]).select(*KEY, F.col("new").alias("label")), "merged")
+    values = [f"m_{c}" for c in LAB]
+    names = stored(means.select("image_id", "label", *values), "means")
+    mapped = _mapped(names, stored(neighbour_pairs(labels), "pairs"), values, [], tol, 0.0, passes)
+    new = _renumbered(names.select("image_id", "label"), mapped)
+    now = stored(labels.join(new, ["image_id", "label"]).select(*KEY, F.col("new").alias("label")), "merged")
     fitted = component_means(now.join(lab, list(KEY)))
-    whole = mapped.select("image_id", F.col("new").alias("label")).distinct().join(fitted, ["image_id", "label"], "left")
+    whole = new.select("image_id", F.col("new").alias("label")).distinct().join(fitted, ["image_id", "label"], "left")
     return now, whole.na.fill(0)
 
 
@@ -305,18 +384,18 @@ def merge_planes(labels: DataFrame, planes: DataFrame, lab: DataFrame, tol: floa
     Each pass starts from single regions; pictures in which something merged are renumbered and fitted anew, others keep their planes.
     """
     fit = [f"{k}_{c}" for c in LAB for k in ("off", "dy", "dx")]
-    work = _merger([f"off_{c}" for c in LAB], [f"{k}_{c}" for c in LAB for k in ("dy", "dx")], tol, slope_tol, 1)
+    values, slopes = [f"off_{c}" for c in LAB], [f"{k}_{c}" for c in LAB for k in ("dy", "dx")]
     planes = stored(planes.select("image_id", "label", "cy", "cx", *fit), "planes")
     for _ in range(passes):
-        mapped = planes.groupBy("image_id").cogroup(neighbour_pairs(labels).groupBy("image_id")).applyInPandas(work, _MAPPED)
-        mapped = stored(mapped.where("merged"), "mapped")
+        mapped = _mapped(planes, stored(neighbour_pairs(labels), "pairs"), values, slopes, tol, slope_tol, 1)
         if mapped.isEmpty():
             break
-        touched = mapped.select("image_id").distinct()
-        moved = labels.join(mapped, ["image_id", "label"]).select(*KEY, F.col("new").alias("label"))
+        touched = stored(mapped.select("image_id").distinct(), "touched")
+        new = _renumbered(planes.join(touched, "image_id", "left_semi").select("image_id", "label"), mapped)
+        moved = labels.join(new, ["image_id", "label"]).select(*KEY, F.col("new").alias("label"))
         labels = stored(moved.unionByName(labels.join(touched, "image_id", "left_anti").select(*KEY, "label")), "merged")
         fitted = component_planes(labels.join(touched, "image_id", "left_semi").join(lab, list(KEY))).select("image_id", "label", "cy", "cx", *fit)
-        names = mapped.select("image_id", F.col("new").alias("label")).distinct()
+        names = new.select("image_id", F.col("new").alias("label")).distinct()
         fitted = names.join(fitted, ["image_id", "label"], "left").na.fill(0.0)
         planes = stored(fitted.unionByName(planes.join(touched, "image_id", "left_anti")), "planes")
     return labels, planes

@@ -9,6 +9,7 @@ times four bytes a pixel. A task's memory grows with a picture's width and never
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from .stencil import dims
 BAND = 64
 STRIPS = "image_id string, band int, h int, w int, data binary"
 #: Pixels of a block of the kernel: its planes stay in a core's cache.
-BLOCK = 8192
+BLOCK = 32768
 
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
@@ -100,21 +101,20 @@ def bytes_of(lab: np.ndarray) -> np.ndarray:
 def local_mean(lab: np.ndarray, ok: np.ndarray, lo: int, hi: int, radius: int, sigma_range: float, stride: int, kind: type) -> np.ndarray:
     """Range-weighted local means of rows lo to hi of (3, rows, w) planes, in blocks whose planes are made once.
 
-    Pixels that aren't ok, and those around the picture, get a value so far off that their weight is 0.
+    Values are scaled so that a squared distance is its own exponent. Pixels that aren't ok, and those around the picture, get a value so
+    far off that their weight is 0.
     """
     rows, w = ok.shape
-    top, below = max(0, radius - lo), max(0, hi + radius - rows)
-    far = kind(1e6)
+    top, below, unit, far = max(0, radius - lo), max(0, hi + radius - rows), math.sqrt(2.0) * sigma_range, kind(1e5)
     wide = np.full((3, rows + top + below, w + 2 * radius), far, kind)
-    wide[:, top : top + rows, radius : radius + w] = np.where(ok, lab, far)
-    steps = [(dy, dx, kind(s)) for dy, dx, s in taps(radius, stride)]
-    slope, out = kind(-1.0 / (2.0 * sigma_range**2)), np.empty((3, hi - lo, w), kind)
-    cols = min(w, BLOCK // 2)
+    wide[:, top : top + rows, radius : radius + w] = np.where(ok, lab / unit, far)
+    steps = [(dy, dx, kind(math.log(s))) for dy, dx, s in taps(radius, stride)]
+    out, cols = np.empty((3, hi - lo, w), kind), min(w, BLOCK // 2)
     each = max(1, BLOCK // cols)
     for y in range(lo, hi, each):
         for x in range(0, w, cols):
             n, m = min(each, hi - y), min(cols, w - x)
-            mid = wide[:, top + y : top + y + n, radius + x : radius + x + m]
+            mid = np.ascontiguousarray(wide[:, top + y : top + y + n, radius + x : radius + x + m])
             d, wt, total, weight = np.empty((3, n, m), kind), np.empty((n, m), kind), np.zeros((3, n, m), kind), np.zeros((n, m), kind)
             for dy, dx, space in steps:
                 there = wide[:, top + y + dy : top + y + dy + n, radius + x + dx : radius + x + dx + m]
@@ -122,14 +122,13 @@ def local_mean(lab: np.ndarray, ok: np.ndarray, lo: int, hi: int, radius: int, s
                 np.multiply(d, d, out=d)
                 np.add(d[0], d[1], out=wt)
                 np.add(wt, d[2], out=wt)
-                np.multiply(wt, slope, out=wt)
+                np.subtract(space, wt, out=wt)
                 np.exp(wt, out=wt)
-                np.multiply(wt, space, out=wt)
                 np.add(weight, wt, out=weight)
                 np.multiply(there, wt, out=d)
                 np.add(total, d, out=total)
             out[:, y - lo : y - lo + n, x : x + m] = total / weight
-    return out
+    return out * kind(unit)
 
 
 def _near(mask: np.ndarray) -> np.ndarray:

@@ -54,15 +54,24 @@ def _scan(spark: SparkSession, path: str | list[str], recursive: bool) -> tuple[
     plain = place(F.url_decode(F.replace(F.col("origin"), F.lit("+"), F.lit("%2B"))))
     held = only_images(load("image").select("image.*"), "origin").withColumn("place", plain)
     head = lambda at: F.hex(F.substring("content", at, 1))
-    files = load("binaryFile").select(place("path").alias("place"), "content")
-    alpha = files.where((F.hex(F.substring("content", 1, 8)) == PNG_START.hex().upper()) & (head(26) == "04"))
-    colour = held.where("height > 0 and nChannels <> 1")
-    grey = held.where("height > 0 and nChannels = 1").join(alpha, "place", "left")
-    maps = only_images(files, "place").where(F.lower("place").endswith(".ppm"))
-    maps = maps.select(F.col("place").alias("origin"), "place", _read_ppm("content").alias("p")).select("origin", "place", "p.*")
-    undecoded = held.where("height <= 0 and not lower(place) like '%.ppm'").select("place").unionByName(maps.where("data is null").select("place"))
-    errors = undecoded.select(F.col("place").alias("path"), F.lit("can't be decoded").alias("reason"))
-    return [colour, grey, maps.where("data is not null")], errors
+    files = only_images(load("binaryFile").select(place("path").alias("place"), "content"), "place")
+    grey_png = (F.hex(F.substring("content", 1, 8)) == PNG_START.hex().upper()) & (head(26) == "04")
+    is_map = F.lower("place").endswith(".ppm")
+    special = stored(files.select("place", F.when(is_map, "map").when(grey_png, "grey").alias("kind")).where("kind is not null"), "special")
+    kinds = {r["kind"] for r in special.select("kind").distinct().collect()}
+    rest = held
+    if kinds:  # else every picture is decoded once, and no file is looked at again
+        rest = held.join(maybe_broadcast(special.select("place")), "place", "left_anti")
+    good, bad = [rest.where("height > 0")], rest.where("height <= 0").select("place")
+    if "grey" in kinds:
+        grey = held.join(maybe_broadcast(special.where("kind = 'grey'").select("place")), "place", "left_semi")
+        good.append(grey.where("height > 0").join(files.where(grey_png), "place"))
+        bad = bad.unionByName(grey.where("height <= 0").select("place"))
+    if "map" in kinds:
+        maps = files.where(is_map).select(F.col("place").alias("origin"), "place", _read_ppm("content").alias("p")).select("origin", "place", "p.*")
+        good.append(maps.where("data is not null"))
+        bad = bad.unionByName(maps.where("data is null").select("place"))
+    return good, bad.select(F.col("place").alias("path"), F.lit("can't be decoded").alias("reason"))
 
 
 @F.pandas_udf(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("height", "width", "nChannels")), T.StructField("data", T.BinaryType())]))

@@ -1,4 +1,4 @@
-"""Tables in the shared folder: they cut lineage in loops and survive lost executors."""
+"""Tables in the shared folder: they cut lineage in loops, survive lost executors, and go with the driver."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which goes when the driver ends or drop_stored is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_drop_all)
+    _made.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete every table that `stored` has made: call it once results that may read them are written."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop()[1])
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _drop_all() -> None:
+    try:
+        if _made and _made[-1][0].sparkContext._jsc is not None:
+            drop_stored(_made[-1][0])
+    except Exception:  # the session has ended before: its folder is left to whoever owns it
+        _made.clear()
+
+
 def maybe_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """df, a stored table, broadcast if it has at most limit rows of a few numbers; else its join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -267,6 +267,43 @@ def test_merging_means_equals_brute_force(spark):
     assert sorted(round(r["m_lab_l"], 6) for r in means.collect()) == [10.4, 11.6, 30.0]
 
 
+def brute_merge(names, level, slope, pairs, tol, slope_tol, passes):
+    """label to root by one ordered union over the whole picture."""
+    above = {n: n for n in names}
+
+    def root(n):
+        while above[n] != n:
+            n = above[n]
+        return n
+
+    for _ in range(passes):
+        for u, v in pairs:
+            a, b = root(u), root(v)
+            if a != b and np.abs(level[a] - level[b]).max() <= tol and np.abs(slope[a] - slope[b]).max() <= slope_tol:
+                above[b] = a
+    return {n: root(n) for n in names if root(n) != n}
+
+
+@pytest.mark.parametrize("kind", ["means", "planes"])
+def test_clusters_merge_as_one_ordered_union_does(spark, kind):
+    """Random region graphs of two pictures; chains merge through roots whose own models are near though the neighbours' are not."""
+    rng = np.random.default_rng(len(kind))
+    values, slopes = ([f"m_{c}" for c in LAB], []) if kind == "means" else ([f"off_{c}" for c in LAB], [f"{k}_{c}" for c in LAB for k in ("dy", "dx")])
+    rows, links, want, sizes = [], [], set(), []
+    for image in ("p", "q"):
+        level, slope = rng.uniform(0, 9, (60, 3)) * (1, 0.1, 0.1), rng.uniform(0, 0.15, (60, len(slopes) or 1)) * bool(slopes)
+        pairs = sorted({(int(rng.integers(0, 2)), *map(int, rng.choice(60, 2, replace=False))) for _ in range(200)})
+        rows += [(image, i, *map(float, level[i]), *(map(float, slope[i]) if slopes else ())) for i in range(60)]
+        links += [(image, *p) for p in pairs]
+        want |= {(image, n, r) for n, r in brute_merge(range(60), level, slope, [p[1:] for p in pairs], 1.0, 0.12, 3).items()}
+    models = stored(spark.createDataFrame(rows, "image_id string, label int, " + ", ".join(f"{c} double" for c in values + slopes)), "t")
+    pairs = stored(spark.createDataFrame(links, "image_id string, phase int, u int, v int"), "t")
+    got = {tuple(r) for r in regions._mapped(models, pairs, values, slopes, 1.0, 0.12, 3).select("image_id", "label", "root").collect()}
+    assert got == want and len(want) > 12
+    clusters = regions.merge_clusters(models, pairs, dict.fromkeys(values, 1.0) | dict.fromkeys(slopes, 0.12))
+    assert clusters.select("image_id", "cluster").distinct().count() > 2
+
+
 def test_merging_planes_refits(spark):
     label = np.repeat(np.arange(4), 5)[None, :].repeat(6, 0)
     lab = np.stack([np.take([10.0, 10.8, 11.2, 30.0], label)] * 3, -1)
@@ -342,7 +379,7 @@ def test_colours_and_settings():
             parse_color(bad)
     p = Params.from_strings({"stride": "2", "snap": "false", "strength": "0.5", "radius": "junk", "unknown": "1", "write_report": "on"})
     assert (p.stride, p.snap, p.strength, p.radius, p.write_report) == (2, False, 0.5, 0, True)
-    assert p.options().radius is None and Params(alpha="flatten", bg_color="#102030").composite() == (16, 32, 48)
+    assert p.options().radius is None and Params(alpha="flatten", bg_color="#102030").measured_on() == ((16, 32, 48), (16, 32, 48)) and p.measured_on() == ((255, 255, 255), None)
     assert auto_radius(1254, 1254) == 16 and auto_radius(16, 16) == 3 and auto_radius(4096, 4096) == 24
     assert math.isclose(estimate_seconds(1254, 1254), 3.0) and estimate_seconds(1254, 1254, Params(stride=2)) < 1
     assert Params(stride=2).summary() == "stride=2" and Params().summary() == "default" and Options(strength=9).sigma_range == 8.0
