@@ -1,12 +1,17 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts reveal.
 
 Base spans (leftmost, non-overlapping per kind): email, ip, card, phone by the patterns below and their checks.
-Bootstrapping: each base span is a seed. Its lexical patterns are the two words before it, and the word before and the word after it (a word stands for its last
-WORD_CHARS characters, in lower case and with 0 for runs of digits). Candidates have the same patterns: every other token with LEAST_DIGITS digits or more, taken together with the
+Bootstrapping: seeds are the base spans, and tokens whose shape alone tells (KEY_CHARS characters or more of letters, digits and -_+/=, with KEY_MIX of
+both letters and digits at least, as generated keys have). A span's lexical patterns are
+  the two words before it, and the word before and the word after it (in lower case, with 0 for runs of digits; a word of over WORD_CHARS characters stands
+  for a hash of all its characters),
+  its key: the name before an assignment or colon right before it, with what stands between (`token = "`),
+  the word before it with its own shape: runs of its characters by class and length.
+Candidates have the same patterns: every other token with LEAST_DIGITS digits or more, taken together with the
 groups of digits that follow it, @handles, and addresses spelled `x at y dot z`. Spark scores the graph of patterns and instances in turns: a
 pattern's score is the mean confidence of its distinct instances, smoothed by SMOOTH unknown ones; an instance that is no seed
 takes the best score of its patterns. After ROUNDS turns, candidates under patterns of score >= ACCEPT that at least SEEDS
-different seeds support are found, as spans of kind `id`. Base spans stay as they are, and the four counts are theirs.
+different seeds support are found, as spans of kind `id`; seeds by shape need such a pattern as well. Base spans stay as they are, and the four counts are theirs.
 
 Cases: null text is empty and has no spans; rows are kept one by one, with null or repeated ids too; at most the seeds and
 candidates of a text travel, never the text; an empty table gives no rows.
@@ -33,8 +38,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)(?:(?P<digits>[^\s0-9]*+[0-9]\S*+(?:\x20[(+]?[0-9][0-9().-]*+(?=\s|[,;:!?]|\Z))*+)|@[A-Za-z0-9_]{2,}+|[\w.-]++\x20[(\[]?at[)\]]?\x20[\w-]++\x20[(\[]?dot[)\]]?\x20\w++)")
 _WORD = re.compile(r"\S+")
+_ALNUM = re.compile(r"[^\W_]")
+_RADIX, _PRIME = 1_000_003, (1 << 61) - 1
 KINDS = ("email", "ip", "card", "phone")
 LEAST_DIGITS, SMOOTH, ROUNDS, ACCEPT, SEEDS, WORD_CHARS = 4, 1.0, 3, 0.8, 5, 64
+KEY_CHARS, KEY_MIX = 20, 5
+_KEY = re.compile(r"[A-Za-z0-9_+/=-]+")
+_NAME = re.compile(r"([\w.-]{1,64})([ \t]{0,2}[:=]{1,2}>?[ \t]{0,2}[\"'`(\[]?)\Z")
+#: Characters before a span that its key is sought in.
+_NAME_REACH = 72
+_RUNS = re.compile(r"[^\W_]+|\s+|.", re.S)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -78,36 +91,68 @@ class _Contexts:
     """Patterns of spans of a text, each found in time that does not grow with the text."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends = text, [], []
+        self.text, self.starts, self.ends, self._sums = text, [], [], {}
         for m in _WORD.finditer(text):
             self.starts.append(m.start())
             self.ends.append(m.end())
 
     def _word(self, start: int, end: int) -> str:
-        return re.sub(r"[0-9]+", "0", self.text[max(start, end - WORD_CHARS) : end].lower())
+        """The part of a word from start to end."""
+        if end - start <= WORD_CHARS:
+            return re.sub(r"[0-9]+", "0", self.text[start:end].lower())
+        # sums over the whole word, made once, give the hash of any part of it
+        i = bisect.bisect_right(self.starts, start) - 1
+        if i not in self._sums:
+            sums, h = [0], 0
+            for c in self.text[self.starts[i] : self.ends[i]]:
+                h = (h * _RADIX + (48 if c in "0123456789" else ord(c.lower()[0])) + 1) % _PRIME
+                sums.append(h)
+            self._sums[i] = sums
+        sums, a, b = self._sums[i], start - self.starts[i], end - self.starts[i]
+        return f"#{b - a}:{(sums[b] - sums[a] * pow(_RADIX, b - a, _PRIME)) % _PRIME:x}"
+
+    def _shaped(self, start: int, end: int, before: str) -> list[str]:
+        """The word before the span with the span's shape, and the key before it, if there is one."""
+        runs = []
+        for m in _RUNS.finditer(self.text, start, min(end, start + WORD_CHARS)):
+            x = m.group()
+            runs.append(f"{'9' if x.isdigit() else 'a' if x.isalpha() else 'm' if x[0].isalnum() else x[0]}{len(x)}")
+        out = [f"{before} shaped {' '.join(runs)} of {end - start}"]
+        name = _NAME.search(self.text[max(0, start - _NAME_REACH) : start])
+        return [f"key {name[1].lower()}{name[2]}", *out] if name else out
 
     def of(self, start: int, end: int) -> list[str]:
         """Of the span: the two words before it, and the word before and the word after it; letters or digits right at the span count as a word, mere marks don't."""
         i = bisect.bisect_left(self.starts, start)  # words that begin before the span
-        if i and self.ends[i - 1] > start and not any(map(str.isalnum, self.text[max(self.starts[i - 1], start - WORD_CHARS) : start])):
+        if i and self.ends[i - 1] > start and not self._says(self.starts[i - 1], start):
             i -= 1
         before = [self._word(self.starts[j], min(self.ends[j], start)) for j in range(max(0, i - 2), i)]
         k = bisect.bisect_right(self.ends, end)  # the first word that ends behind the span
-        if k < len(self.starts) and self.starts[k] < end and not any(map(str.isalnum, self.text[end : min(self.ends[k], end + WORD_CHARS)])):
+        if k < len(self.starts) and self.starts[k] < end and not self._says(end, self.ends[k]):
             k += 1
         after = ""
         if k < len(self.starts):
             first = max(self.starts[k], end)
-            after = self._word(first, min(self.ends[k], first + WORD_CHARS))
-        return [" ".join(before), f"{before[-1] if before else ''}|{after}"]
+            after = self._word(first, self.ends[k])
+        last = before[-1] if before else ""
+        return [" ".join(before), f"{last}|{after}", *self._shaped(start, end, last)]
+
+    def _says(self, start: int, end: int) -> bool:
+        """Is there a letter or digit?"""
+        return _ALNUM.search(self.text, start, end) is not None
+
+
+def by_shape(x: str) -> bool:
+    """Is it a generated key, by its shape?"""
+    return len(x) >= KEY_CHARS and _KEY.fullmatch(x) is not None and sum(map(str.isalpha, x)) >= KEY_MIX and sum(map(str.isdigit, x)) >= KEY_MIX
 
 
 def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("contexts", pa.list_(pa.string())), ("surface", pa.int64())])
-_SCHEMA = "doc_id long, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind string, start int, end int, contexts array<string>, surface long>>"
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("contexts", pa.list_(pa.string())), ("surface", pa.int64()), ("seed", pa.bool_())])
+_SCHEMA = "doc_id long, base_sha256 string, n_email long, n_ip long, n_card long, n_phone long, found array<struct<kind string, start int, end int, contexts array<string>, surface long, seed boolean>>"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +167,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = None
             if rows or _TOKEN.search(text):
                 own = _Contexts(text)
-            out = [(k, s, e, own.of(s, e), _hash(text[s:e].lower())) for k, s, e in rows]
+            out = [(k, s, e, own.of(s, e), _hash(text[s:e].lower()), True) for k, s, e in rows]
             taken = sorted((s, e) for _, s, e in rows)
             i = 0
             for m in _TOKEN.finditer(text) if own else ():
@@ -135,8 +180,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s += 1
                 while not text[e - 1].isalnum():
                     e -= 1
-                out.append((None, s, e, own.of(s, e), _hash(text[s:e].lower())))
-            found.append([dict(zip(("kind", "start", "end", "contexts", "surface"), x)) for x in out])
+                out.append((None, s, e, own.of(s, e), _hash(text[s:e].lower()), by_shape(text[s:e])))
+            found.append([dict(zip(("kind", "start", "end", "contexts", "surface", "seed"), x)) for x in out])
         yield pa.record_batch(
             [batch.column("doc_id"), pa.array(digest, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(found, pa.list_(_SPAN))],
             names=["doc_id", "base_sha256", *(f"n_{k}" for k in KINDS), "found"],
@@ -144,8 +189,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def patterns(found: DataFrame) -> DataFrame:
-    """Accepted patterns (context, score). found: context, surface, kind (null for candidates), a stored table."""
-    edges = stored(found.groupBy("context", "surface").agg(F.max(F.col("kind").isNotNull().cast("int")).alias("seed")), "pii-edges")
+    """Accepted patterns (context, score). found: context, surface, seed (is it one?), a stored table."""
+    edges = stored(found.groupBy("context", "surface").agg(F.max(F.col("seed").cast("int")).alias("seed")), "pii-edges")
     names = edges.groupBy("surface").agg(F.max("seed").cast("double").alias("conf"))
     scores = None
     for turn in range(ROUNDS):
@@ -165,7 +210,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(slim.mapInArrow(_extract, _SCHEMA).withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     found = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").withColumn("context", F.explode("contexts"))
-    good = maybe_broadcast(stored(patterns(found.select("context", "surface", "kind")), "pii-accepted"))
+    good = maybe_broadcast(stored(patterns(found.select("context", "surface", "seed")), "pii-accepted"))
     extra = found.where("kind is null").join(good, "context").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("more"))
     rows = rows.join(extra, "row", "left")
     more = F.coalesce(F.transform("more", lambda x: F.format_string("id:%d:%d", x["start"], x["end"])), F.expr("cast(array() as array<string>)"))
