@@ -40,8 +40,8 @@ def test_scores_equal_a_plain_loop(spark):
 
 def test_secrets_behind_keys_are_found_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    secret = re.compile(r"token = \"([0-9a-f]{40})\"")
-    texts = {r["doc_id"]: r["text"] for r in docs.where("text like '%token = %'").select("doc_id", "text").collect()}
+    secret = re.compile(r"token = \"([0-9a-f]{40})\"", re.I)
+    texts = {r["doc_id"]: r["text"] for r in docs.where("lower(text) like '%token = %'").select("doc_id", "text").collect()}
     want = {(i, *m.span(1)) for i, t in texts.items() for m in secret.finditer(t)}
     rows = pii.find(docs).where("n_id > 0").select("doc_id", "spans").collect()
     found = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in rows for s in r["spans"].split(",") if s.startswith("id:")}
