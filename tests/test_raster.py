@@ -291,7 +291,7 @@ def test_clusters_merge_as_one_ordered_union_does(spark, kind):
     values, slopes = ([f"m_{c}" for c in LAB], []) if kind == "means" else ([f"off_{c}" for c in LAB], [f"{k}_{c}" for c in LAB for k in ("dy", "dx")])
     rows, links, want, sizes = [], [], set(), []
     for image in ("p", "q"):
-        level, slope = rng.uniform(0, 9, (60, 3)) * (1, 0.1, 0.1), rng.uniform(0, 0.15, (60, len(slopes) or 1)) * bool(slopes)
+        level, slope = rng.uniform(0, 9, (60, 3)) * (1, 0.1, 0.1) + 50.0 * (np.arange(60) % 3)[:, None], rng.uniform(0, 0.15, (60, len(slopes) or 1)) * bool(slopes)
         pairs = sorted({(int(rng.integers(0, 2)), *map(int, rng.choice(60, 2, replace=False))) for _ in range(200)})
         rows += [(image, i, *map(float, level[i]), *(map(float, slope[i]) if slopes else ())) for i in range(60)]
         links += [(image, *p) for p in pairs]
