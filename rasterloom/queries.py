@@ -17,7 +17,7 @@ from .model import KEY, LAB, Options
 from .operators import alpha, bilateral, figures, metrics, regions, stencil
 from .operators import strips as packed
 from .plans import clean as plan
-from .sources import images
+from .sources import images, ledger
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,17 +192,23 @@ def valid_mask_count(spark, d):
     return fixtures.raster(spark, d).groupBy("image_id").agg(F.count_if(color.is_valid()).alias("valid"), F.count(F.lit(1)).alias("total"))
 
 
-_COLOURS = ("#0a141e", "FFFFFF", " #fa0 ", "White", "black", "#12", "1,2,3", "zzzzzz")
+def _orders(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
 
 
-@query("""with c as (select unnest(['#0a141e', 'FFFFFF', ' #fa0 ', 'White', 'black', '#12', '1,2,3', 'zzzzzz']) said),
- t as (select said, case lower(trim(said)) when 'white' then 'ffffff' when 'black' then '000000' else ltrim(lower(trim(said)), '#') end n from c),
- h as (select said, case when length(n) = 3 then n[1] || n[1] || n[2] || n[2] || n[3] || n[3] else n end n from t),
- k as (select said, n, regexp_full_match(n, '[0-9a-f]{6}') ok from h)
- select said, case when ok then ('0x' || n[1:2])::int else -1 end r, case when ok then ('0x' || n[3:4])::int else -1 end g, case when ok then ('0x' || n[5:6])::int else -1 end b from k""")
+@query("""with o as (select o_orderkey k, printf('%06x', (o_orderkey * 7919 + 255) % 16777216) x from orders),
+ c as (select k, case k % 7 when 0 then '#' || x when 1 then upper(x) when 2 then ' #' || x[1:3] || ' ' when 3 then 'White' when 4 then 'black' when 5 then '#' || x[1:2] else k || ',2,3' end said from o),
+ t as (select k, said, case lower(trim(said)) when 'white' then 'ffffff' when 'black' then '000000' else ltrim(lower(trim(said)), '#') end n from c),
+ h as (select k, said, case when length(n) = 3 then n[1] || n[1] || n[2] || n[2] || n[3] || n[3] else n end n from t),
+ j as (select k, said, n, regexp_full_match(n, '[0-9a-f]{6}') ok from h)
+ select k, said, case when ok then ('0x' || n[1:2])::int else -1 end r, case when ok then ('0x' || n[3:4])::int else -1 end g, case when ok then ('0x' || n[5:6])::int else -1 end b from j""")
 def parse_color(spark, d):
-    said = spark.createDataFrame([(c,) for c in _COLOURS], "said string").withColumn("c", color.parse_color_column(F.col("said")))
-    return said.select("said", *(F.coalesce(F.col("c")[n], F.lit(-1)).alias(n) for n in "rgb"))
+    """Names of colours, good and bad ones, made of order numbers."""
+    x = F.lpad(F.lower(F.hex((F.col("k") * 7919 + 255) % 16777216)), 6, "0")
+    forms = [F.concat(F.lit("#"), x), F.upper(x), F.concat(F.lit(" #"), F.substring(x, 1, 3), F.lit(" ")), F.lit("White"), F.lit("black"), F.concat(F.lit("#"), F.substring(x, 1, 2)), F.concat(F.col("k"), F.lit(",2,3"))]
+    said = _orders(spark, d).withColumn("said", F.element_at(F.array(*forms), (F.col("k") % 7 + 1).cast("int")))
+    said = said.withColumn("c", color.parse_color_column(F.col("said")))
+    return said.select("k", "said", *(F.coalesce(F.col("c")[n], F.lit(-1)).alias(n) for n in "rgb"))
 
 
 # ---------------------------------------------------------------- stencils
@@ -364,7 +370,23 @@ def clean_flatten(spark, d):
     return plan.clean(fixtures.raster(spark, d), Options(alpha_mode="flatten"))
 
 
-@query()
+def _batch_info_sql() -> str:
+    """The info row of every picture of the batch, by joins on the picture too."""
+    px = """bp as (select 'img' || i image_id, y, x, cast(case when hole then 255 else 40 + (blk * 37) % 180 + g end as int) r, cast(case when hole then 255 else 60 + (blk * 53) % 160 + g end as int) g,
+ cast(case when hole then 255 else 50 + (blk * 71) % 170 + g end as int) b, cast(case when hole then c % 3 when y = 4 or x = 4 then 128 else 253 end as int) a
+ from (select i, y, x, c, c % 5 - 2 g, (y // 20) * 7 + (x // 20) blk, (y < 4 or x < 4) hole from (select o_orderkey // 2500 i, o_orderkey % 2500 // 50 y, o_orderkey % 50 x, cast(round(o_totalprice * 100) as bigint) c from orders)))"""
+    near = "from bl p, range(-1, 2) e(dy), range(-1, 2) f(dx) join bl n on n.image_id = p.image_id and n.y = p.y + dy and n.x = p.x + dx group by 1, 2, 3"
+    weight = "case when dy = 0 and dx = 0 then -4 when dy = 0 or dx = 0 then 1 else 0 end"
+    each = ", ".join(f"sum({weight} * n.{c}) lap_{c}, max(n.{c}) - min(n.{c}) rng_{c}" for c in ("lab_l", "l1"))
+    sigma = lambda c: f"round(case when count(*) filter (k = 9 and valid and rng_{c} < 3) >= 64 then sqrt(pi() / 2) / 6 * median(abs(lap_{c})) filter (k = 9 and valid and rng_{c} < 3) else 0 end, 4)::double"
+    return f"""with {px}, bv as (select *, a >= 24 valid, {_luma_sql()} l1 from bp), {_lab_sql('bl', 'bv', where='valid')},
+nn as (select p.image_id, p.y, p.x, bool_and(p.valid) valid, count(*) k, {each}, max(p.a) a, min(n.a) low, max(n.a) high {near})
+select image_id, {sigma('lab_l')} sigma_grain_lab, {sigma('l1')} sigma_grain_srgb_levels, greatest(3, least(24, round_even(16.0::double * sqrt((max(x) + 1) * (max(y) + 1) / 1572516.0::double), 0)))::int radius,
+ 1.5::double sigma_range, 1::int stride, false snap, 0::bigint snapped_px, 0::bigint snapped_blocks, 'normalize' alpha_mode,
+ count(*) filter (low >= 248 and a <> 255)::bigint alpha_interior_snapped_px, count(*) filter (high <= 2 and a <> 0)::bigint alpha_stray_zeroed_px from nn group by 1"""
+
+
+@query(_batch_info_sql())
 def clean_batch_info(spark, d):
     return plan.clean_with_info(fixtures.batch(spark, d))[1].drop("size", "bg_color")
 
@@ -596,6 +618,18 @@ def boost_stats(spark, d):
     return got.select("image_id", F.round("p50", 4).alias("p50"), F.round("gain", 4).alias("gain"))
 
 
+@query(f"""with {PX}, {VALID}, q as (select quantile_cont(l, 0.5) p50, least(greatest(80 / greatest(quantile_cont(l, 0.75) - quantile_cont(l, 0.25), 1), 1), 24) gain from v)
+ select image_id, y, x, {', '.join(f'floor(least(greatest(({c} - p50) * gain + 110.0::double, 0), 255))::int {c}' for c in 'rgb')}, a from px, q""")
+def boost(spark, d):
+    return metrics.boost(fixtures.raster(spark, d))
+
+
+@query(f"""with {PX}, {AFTER}, {DIM}, gy as (select unnest(range((select 2 * h + 16 from dim)))::int y), gx as (select unnest(range((select w from dim)))::int x)
+ select 'orders' image_id, gy.y, gx.x, {', '.join(f'coalesce(p.{n}, q.{n}, 255)::int {n}' for n in 'rgba')} from gy, gx, dim left join px p on p.y = gy.y and p.x = gx.x left join ax q on q.y = gy.y - h - 16 and q.x = gx.x""")
+def paste_below(spark, d):
+    return figures.below(fixtures.raster(spark, d), fixtures.raster(spark, d, grain=False))
+
+
 @query(f"with {PX} select image_id, ((y - 10) * 3 + i)::int y, ((x - 20) * 3 + j)::int x, r, g, b, a from px, range(3) a_(i), range(3) b_(j) where x >= 20 and x < 36 and y >= 10 and y < 34")
 def crop_zoom(spark, d):
     return figures.zoom(figures.crop(fixtures.raster(spark, d), 20, 10, 16, 24), 3)
@@ -606,7 +640,23 @@ def paste_beside(spark, d):
     return figures.beside(fixtures.raster(spark, d), fixtures.raster(spark, d, grain=False))
 
 
-@query()
+def _lanczos_sql(height: int, lobes: int = 3) -> str:
+    """A pass along x, then one along y, by direct sums over all places within the filter."""
+    sinc = lambda v: f"case when abs({v}) < 1e-12 then 1 else sin({v} * pi()) / ({v} * pi()) end"
+    flat = ", ".join(f"round_even({n} * (a / 255.0::double) + (1.0::double - a / 255.0::double) * 255, 0) {n}" for n in "rgb")
+    size = f"sz as (select greatest(1, floor(w * least(1, {height}.0::double / h)))::int mw, greatest(1, floor(h * least(1, {height}.0::double / h)))::int mh, h, w from dim)"
+    out = [f"with {PX}, {DIM}, {size}, fl as (select y, x, {flat} from px)"]
+    for name, src, axis, n, m, other in (("px1", "fl", "x", "w", "mw", "y"), ("px2", "px1", "y", "h", "mh", "x")):
+        u = f"(({axis} + 0.5::double - (t + 0.5::double) * ({n}::double / {m})) / ({n}::double / {m}))"
+        taps = f"{name}_t as (select {axis}, t, {u} u from (select distinct {axis} from {src}), sz, range(sz.{m}) r(t))"
+        wt = f"({sinc('u')}) * ({sinc(f'(u / {lobes})')})"
+        out.append(f"{taps}, {name}_w as (select *, {wt} wt from {name}_t where abs(u) < {lobes})")
+        out.append(f"{name} as (select {other}, t::int as {axis}, {', '.join(f'sum({c} * wt) / sum(wt) {c}' for c in 'rgb')} from {src} join {name}_w using ({axis}) group by 1, 2)")
+    level = ", ".join(f"least(greatest(round_even({c}, 0), 0), 255)::int {c}" for c in "rgb")
+    return ", ".join(out) + f" select 'orders' image_id, y, x, {level}, 255::int a from px2"
+
+
+@query(_lanczos_sql(60))
 def downscale(spark, d):
     return figures.downscale(color.flatten(fixtures.raster(spark, d)), 60)
 
@@ -626,19 +676,23 @@ def pick_crops(spark, d):
     return metrics.pick_crops(_both(spark, d), 32)
 
 
-_SIZES = [(1254, 1254), (4096, 4096), (16, 16), (627, 627), (1920, 1080)]
+_SIZES_SQL = "select o_orderkey k, (16 + o_orderkey % 4081)::int w, (16 + o_orderkey * 31 % 4081)::int h, (1 + o_orderkey % 3)::int s, o_orderkey % 2 = 0 n from orders"
+
+
+def _sizes(spark, d) -> DataFrame:
+    """Sizes of pictures and settings, made of order numbers."""
+    k = F.col("k")
+    return _orders(spark, d).select("k", (k % 4081 + 16).cast("int").alias("w"), (k * 31 % 4081 + 16).cast("int").alias("h"), (k % 3 + 1).cast("int").alias("stride"), (k % 2 == 0).alias("snap"))
 
 
-@query(f"select w::int w, h::int h, greatest(3, least(24, round_even(16.0::double * sqrt(w * h / 1572516.0::double), 0)))::int radius from (values {', '.join(map(str, _SIZES))}) t(w, h)")
+@query(f"select k, w, h, greatest(3, least(24, round_even(16.0::double * sqrt(w::double * h / 1572516.0::double), 0)))::int radius from ({_SIZES_SQL})")
 def auto_radius(spark, d):
-    return spark.createDataFrame(_SIZES, "w int, h int").withColumn("radius", metrics.auto_radius(F.col("w"), F.col("h")))
+    return _sizes(spark, d).select("k", "w", "h", metrics.auto_radius(F.col("w"), F.col("h")).alias("radius"))
 
 
-@query(f"select w::int w, h::int h, s::int stride, n snap, round(3.0 * pow(w * h / 1572516.0::double, 1.4::double) / case when s >= 2 then 3.4 else 1 end * case when n then 5 else 1 end, 4) as seconds from (values {', '.join(map(str, _SIZES))}) t(w, h), (values (1, false), (2, false), (1, true)) o(s, n)")
+@query(f"select k, w, h, s stride, n snap, round(3.0 * pow(w::double * h / 1572516.0::double, 1.4::double) / case when s >= 2 then 3.4 else 1 end * case when n then 5 else 1 end, 3) as seconds from ({_SIZES_SQL})")
 def estimate_seconds(spark, d):
-    how = spark.createDataFrame([(1, False), (2, False), (1, True)], "stride int, snap boolean")
-    sizes = spark.createDataFrame(_SIZES, "w int, h int").crossJoin(F.broadcast(how))
-    return sizes.withColumn("seconds", F.round(metrics.estimate_seconds(*(F.col(c) for c in ("w", "h", "stride", "snap"))), 4))
+    return _sizes(spark, d).withColumn("seconds", F.round(metrics.estimate_seconds(*(F.col(c) for c in ("w", "h", "stride", "snap"))), 3))
 
 
 @query(f"with {PX}, nn as (select p.y, p.x, count(distinct (n.r, n.g, n.b)) k, count(*) c, bool_and(p.a >= 24) ok from px p, range(-1, 2) a_(dy), range(-1, 2) b_(dx) join px n on n.y = p.y + dy and n.x = p.x + dx group by 1, 2) select 'orders' image_id, round(avg((k = 1)::int), 6) uniform_share from nn where c = 9 and ok")
@@ -652,22 +706,44 @@ def variogram(spark, d):
 
 
 # ---------------------------------------------------------------- files
-_FILES = ["/in/A.PNG", "/in/sub/b.jpeg", "/in/c.txt", "/in/d.e.webp"]
+_ENDS = (".PNG", ".jpeg", ".txt", ".e.webp", ".tif", "")
+_FILES_SQL = f"select o_orderkey k, '/in/' || case when o_orderkey % 4 = 0 then 'sub.d/' else '' end || 'p' || o_orderkey || (['{"', '".join(_ENDS)}'])[o_orderkey % {len(_ENDS)} + 1] path from orders"
+_NAMES_SQL = f"f as (select k, path, regexp_replace(path, '[.][^./]*$', '-clean.png') beside from ({_FILES_SQL}) where regexp_matches(lower(path), '[.](png|jpg|jpeg|webp|bmp|tif|tiff|gif|ppm)$')), t as (select *, '/out/' || regexp_extract(beside, '[^/]*$') target from f)"
 
 
-@query("select * from (values ('/in/A.PNG', '/in/A-clean.png', '/out/A-clean.png'), ('/in/sub/b.jpeg', '/in/sub/b-clean.png', '/out/b-clean.png'), ('/in/d.e.webp', '/in/d.e-clean.png', '/out/d.e-clean.png')) t(path, beside, target)")
+def _files(spark, d) -> DataFrame:
+    """Paths of files, pictures and others, made of order numbers."""
+    k = F.col("k")
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (k % len(_ENDS) + 1).cast("int"))
+    path = F.concat(F.lit("/in/"), F.when(k % 4 == 0, "sub.d/").otherwise(""), F.lit("p"), k.cast("string"), end)
+    return images.only_images(_orders(spark, d).select("k", path.alias("path")))
+
+
+@query(f"with {_NAMES_SQL} select path, beside, target from t")
 def output_names(spark, d):
-    files = images.only_images(spark.createDataFrame([(f,) for f in _FILES], "path string"))
-    return files.select("path", images.output_path(F.col("path")).alias("beside"), images.output_path(F.col("path"), out_dir="/out").alias("target"))
+    return _files(spark, d).select("path", images.output_path(F.col("path")).alias("beside"), images.output_path(F.col("path"), out_dir="/out").alias("target"))
 
 
-@query("select '/in/d.e.webp' path")
+@query(f"with {_NAMES_SQL} select path from t where target not in (select target from t where k % 3 = 0)")
 def skip_existing(spark, d):
-    files = images.only_images(spark.createDataFrame([(f,) for f in _FILES], "path string"))
-    there = spark.createDataFrame([("/out/A-clean.png",), ("/out/b-clean.png",)], "path string")
+    files = _files(spark, d)
+    there = files.where("k % 3 = 0").select(images.output_path(F.col("path"), out_dir="/out").alias("path"))
     return images.not_yet_done(files, there, out_dir="/out").select("path")
 
 
+@query(f"""with {_NAMES_SQL} select path, case k % 5 when 1 then '/out/other-' || k || '-clean.png' else target end output, case when k % 5 < 2 and k % 2 = 0 and k % 15 <> 0 then 'skip' else 'clean' end as "action" from t""")
+def batch_plan(spark, d):
+    """What a batch does with each picture: two fifths are in the ledger, half of these under another name; of every other one the output is there; a fifteenth of the sources have changed since."""
+    k = F.col("k")
+    files = _files(spark, d).select("k", "path", F.regexp_extract("path", "^(.*)/", 1).alias("root"), F.lit(9).cast("long").alias("length"), F.lit("2024-01-01").cast("timestamp").alias("modified"))
+    target = images.output_path(F.col("path"), out_dir="/out")
+    known = files.where(k % 5 < 2).withColumn("output", F.when(k % 5 == 1, F.concat(F.lit("/out/other-"), k, F.lit("-clean.png"))).otherwise(target))
+    known = known.withColumn("length", F.when(k % 15 == 0, 8).otherwise(9).cast("long"))
+    book = known.select("path", "length", "modified", "output", F.lit("cleaned").alias("status"))
+    there = known.where(k % 2 == 0).select(F.col("output").alias("path"))
+    return ledger.planned(files.drop("k"), book, there, out_dir="/out").select("path", "output", "action")
+
+
 @query("with b as (select 'img' || (o_orderkey // 2500) image_id, count(*) n from orders group by 1) select image_id, 50::int width, (n // 50)::int height, 'decoded' status from b")
 def png_roundtrip(spark, d):
     """Encoded and decoded again; `decoded` if every pixel came back."""
