@@ -19,6 +19,8 @@ from .bands import dealt_bands, plane
 _NODE = 1 << 32  # a run is the number y * _NODE + x0, so the least node of a region is its first run in raster order
 #: Rows of a band; bands that one step joins; columns of a bucket in which runs meet across a border.
 BAND, GROUP, BUCKET = 64, 32, 64
+#: Pairs of regions, of all pictures, that are joined picture by picture.
+UNION_PAIRS = 1_000_000
 _RUNS = "image_id string, band int, y int, x0 int, x1 int, node long, root long"
 _MOVED = "image_id string, node long, root long"
 
@@ -278,33 +280,35 @@ def merge_clusters(models: DataFrame, pairs: DataFrame, within: dict[str, float]
     regions: two that touch are joined if the boxes around their models are that near in every column, until no two are. What ordered merging
     does in one cluster depends on no other.
     """
-    def relabelled(df: DataFrame, roots: DataFrame, col: str) -> DataFrame:
-        now = roots.select("image_id", F.col("node").alias(col), F.col("root").alias("_r"))
-        return df.join(now, ["image_id", col], "left").withColumn(col, F.coalesce("_r", col)).drop("_r")
-
-    boxes = models.select("image_id", F.col("label").alias("c"), *(F.col(c).alias(f"{e}_{c}") for c in within for e in ("lo", "hi")))
-    links, member = stored(pairs.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "touching"), None
+    member, joined = models.select("image_id", "label", F.col("label").alias("cluster")), False
+    pairs = pairs.select("image_id", "u", "v").where("u < v").unionByName(pairs.where("u > v").select("image_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     while True:
-        side = lambda n: boxes.select("image_id", F.col("c").alias(n), *(F.col(f"{e}_{c}").alias(f"{e}_{c}_{n}") for c in within for e in ("lo", "hi")))  # noqa: B023, E731
-        near = links.join(side("u"), ["image_id", "u"]).join(side("v"), ["image_id", "v"])
+        held = models.join(member, ["image_id", "label"]) if joined else models.withColumn("cluster", F.col("label"))
+        boxes = held.groupBy("image_id", "cluster").agg(*(f(c).alias(f"{e}_{c}") for c in within for e, f in (("lo", F.min), ("hi", F.max))))
+        near = pairs
+        for n in "uv":
+            if joined:
+                of = member.select("image_id", F.col("label").alias(n), F.col("cluster").alias(f"_{n}"))
+                near = near.join(of, ["image_id", n]).drop(n).withColumnRenamed(f"_{n}", n)
+        near = near.where("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        for n in "uv":
+            side = boxes.select("image_id", F.col("cluster").alias(n), *(F.col(f"{e}_{c}").alias(f"{e}_{c}_{n}") for c in within for e in ("lo", "hi")))
+            near = near.join(side, ["image_id", n])
         for c, tol in within.items():
             near = near.where((F.col(f"lo_{c}_u") - F.col(f"hi_{c}_v") <= tol) & (F.col(f"lo_{c}_v") - F.col(f"hi_{c}_u") <= tol))
         near = stored(near.select("image_id", "u", "v"), "near")
-        if near.isEmpty():
-            return member
-        roots = stored(star_closure(near), "clusters")
-        now = relabelled(boxes, roots, "c").groupBy("image_id", "c").agg(*(f(f"{e}_{c}").alias(f"{e}_{c}") for c in within for e, f in (("lo", F.min), ("hi", F.max))))
-        boxes = stored(now, "boxes")
-        links = relabelled(relabelled(links, roots, "u"), roots, "v").where("u <> v")
-        links = stored(links.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "touching")
-        new = roots.select("image_id", F.col("node").alias("label"), F.col("root").alias("cluster"))
-        heads = roots.select("image_id", F.col("root").alias("label"), F.col("root").alias("cluster")).distinct()
-        if member is None:
-            member = stored(new.unionByName(heads), "members")
-        else:
-            joined = new.unionByName(heads)
-            held = relabelled(member, roots, "cluster")
-            member = stored(held.unionByName(joined.join(held, ["image_id", "label"], "left_anti")), "members")
+        count = near.count()
+        if not count:
+            break
+        # few pairs of numbers are joined picture by picture, many by rounds over the whole table
+        roots = near.groupBy("image_id").applyInPandas(_joined, _MOVED) if count <= UNION_PAIRS else star_closure(near)
+        roots = roots.select("image_id", F.col("node").alias("cluster"), F.col("root").alias("_r"))
+        member = stored(member.join(roots, ["image_id", "cluster"], "left").select("image_id", "label", F.coalesce("_r", "cluster").cast("int").alias("cluster")), "members")
+        joined = True
+    if not joined:
+        return None
+    several = member.groupBy("image_id", "cluster").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("image_id", "cluster")
+    return stored(member.join(several, ["image_id", "cluster"], "left_semi").select("image_id", "label", "cluster"), "members")
 
 
 def _merger(values: list[str], slopes: list[str], tol: float, slope_tol: float, passes: int):

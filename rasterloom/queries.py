@@ -500,16 +500,51 @@ def grow_planes(spark, d):
     return regions.grow(held, regions.component_planes(seeds), 3.0, planes=True)
 
 
-@query()
+def _pairs_sql(n: int, src: str) -> str:
+    """pr<n>: touching labels of src (y, x, label), side by side first, each phase in order; names<n>: the labels with their places."""
+    side = lambda phase, step: f"select distinct {phase} phase, a.label u, b.label v from {src} a join {src} b on b.y = a.y + {1 - step} and b.x = a.x + {step} where a.label <> b.label"
+    return f"""names{n} as materialized (select label, row_number() over (order by label) i from (select distinct label from {src})),
+pr{n} as materialized (select row_number() over (order by phase, u, v) j, a.i u, b.i v from ({side(0, 1)} union all {side(1, 0)}) p join names{n} a on a.label = p.u join names{n} b on b.label = p.v)"""
+
+
+def _union_sql(n: int, models: str, near: str, passes: int) -> str:
+    """to<n>: label and the place of its root among the roots, after ordered unions; the state is the list of roots by label's place. near compares the models p and q."""
+    return f"""un{n} as (select 0::bigint j, (select list(i order by i) from names{n}) roots union all
+ select j, case when roots[u] <> roots[v] and ok then list_transform(roots, lambda z: case when z = roots[v] then roots[u] else z end) else roots end from (
+  select r.j + 1 j, r.roots, w.u, w.v, (select {near} from names{n} a, names{n} b, {models} p, {models} q where a.i = r.roots[w.u] and b.i = r.roots[w.v] and p.label = a.label and q.label = b.label) ok
+  from un{n} r join pr{n} w on w.j = r.j % (select count(*) from pr{n}) + 1 where r.j < {passes} * (select count(*) from pr{n}))),
+fin{n} as materialized (select unnest(roots) root, generate_subscripts(roots, 1) i from un{n} where j = (select max(j) from un{n})),
+to{n} as materialized (select label, (dense_rank() over (order by root) - 1)::int as new from fin{n} join names{n} using (i))"""
+
+
+_MERGE_MEANS = f"""with recursive {_BLOCKS}, md as materialized (select label, {', '.join(f'avg({c}) m_{c}' for c in LAB)} from lab group by 1), {_pairs_sql(0, 'lab')},
+{_union_sql(0, 'md', ' and '.join(f'abs(p.m_{c} - q.m_{c}) <= 40.0' for c in LAB), 3)}
+select image_id, new as label, count(*)::bigint size, {', '.join(f'round(avg({c}), 4) m_{c}' for c in LAB)} from lab join to0 using (label) group by 1, 2"""
+
+
+@query(_MERGE_MEANS)
 def merge_labels(spark, d):
     held = stored(_labelled(spark, d), "labelled")
-    return regions.merge_means(held.select(*KEY, "label"), regions.component_means(held), held.select(*KEY, *LAB), 40.0)[1]
+    got = regions.merge_means(held.select(*KEY, "label"), regions.component_means(held), held.select(*KEY, *LAB), 40.0)[1]
+    return got.select("image_id", "label", "size", *(F.round(f"m_{c}", 4).alias(f"m_{c}") for c in LAB))
 
 
-@query()
+def _merge_planes_sql(tol: float, slope_tol: float, passes: int = 3) -> str:
+    """A pass is a fresh union over the planes of the labels so far, which are fitted anew after it."""
+    near = " and ".join([f"abs(p.off_{c} - q.off_{c}) <= {tol}" for c in LAB] + [f"abs(p.{k}_{c} - q.{k}_{c}) <= {slope_tol}" for c in LAB for k in ("dy", "dx")])
+    fit = lambda n, src: _PLANES.replace("pl as", f"pl{n} as materialized").replace("from lab", f"from {src}")
+    out = [f"with recursive {_BLOCKS}, g0 as materialized (select * from lab), {fit(0, 'g0')}"]
+    for n in range(passes):
+        out += [_pairs_sql(n, f"g{n}"), _union_sql(n, f"pl{n}", near, 1), f"g{n + 1} as materialized (select g.* replace (new as label) from g{n} g join to{n} using (label))", fit(n + 1, f"g{n + 1}")]
+    cols = ", ".join(f"round({c}, 4) + 0.0 {c}" for c in ["cy", "cx", *(f"{k}_{c}" for c in LAB for k in ("off", "dy", "dx"))])
+    return ", ".join(out) + f" select image_id, label::int as label, {cols} from pl{passes}"
+
+
+@query(_merge_planes_sql(40.0, 0.4))
 def merge_planes(spark, d):
     held = stored(_labelled(spark, d), "labelled")
-    return regions.merge_planes(held.select(*KEY, "label"), regions.component_planes(held), held.select(*KEY, *LAB), 40.0, 0.4)[1]
+    got = regions.merge_planes(held.select(*KEY, "label"), regions.component_planes(held), held.select(*KEY, *LAB), 40.0, 0.4)[1]
+    return got.select("image_id", "label", *((F.round(c, 4) + 0.0).alias(c) for c in got.columns if c not in ("image_id", "label")))
 
 
 @query()
