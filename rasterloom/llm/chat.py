@@ -6,7 +6,8 @@ line feed `~3`), so no control string can occur in them and reading back is exac
 Windows: the prefix sum of turn tokens (blank-separated runs) before a turn names its cell, GRID_SHARE of the room that the budget leaves beside the
 system turn and the history. A window's new turns are those that begin in one cell; a turn that would not fit the room behind them is a window's only new turn, whole. Every later window repeats the system turn (a first turn of role `system`) and up to
 `history_turns` turns just before the span, as far as they fit `history_tokens`. The loss mask covers the texts of new assistant turns only,
-so repeated ones are masked and each counts once. All of this is window functions over rows of turns: no array grows with a conversation.
+so repeated ones are masked and each counts once. All of this is window functions over rows of turns; only the
+list of the windows that repeat a system turn, and reading back, hold a conversation's windows or turns together.
 
 Cases: null text and null role count as ''; null conv_id is a conversation of its own; rows are ordered by (turn,
 role, text), null turns first, so repeated rows and ties have a fixed order; an empty table gives no rows.
