@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, LAB
-from ..storage import stored
+from ..storage import shuffled, stored
 from .bands import dealt_bands, plane
 
 _NODE = 1 << 32  # a run is the number y * _NODE + x0, so the least node of a region is its first run in raster order
@@ -377,7 +377,7 @@ def merge_means(labels: DataFrame, means: DataFrame, lab: DataFrame, tol: float,
     mapped = _mapped(names, stored(neighbour_pairs(labels), "pairs"), values, [], tol, 0.0, passes)
     new = _renumbered(names.select("image_id", "label"), mapped)
     now = stored(labels.join(new, ["image_id", "label"]).select(*KEY, F.col("new").alias("label")), "merged")
-    fitted = component_means(now.join(lab, list(KEY)))
+    fitted = component_means(now.join(shuffled(lab), list(KEY)))
     whole = new.select("image_id", F.col("new").alias("label")).distinct().join(fitted, ["image_id", "label"], "left")
     return now, whole.na.fill(0)
 
