@@ -273,38 +273,68 @@ def star_closure(links: DataFrame) -> DataFrame:
         before, edges = sign, stored(_small_star(_large_star(edges)), "star")
 
 
+def _boxed(within: dict[str, float]):
+    """The rest of merge_clusters for one picture: clusters that touch are joined while their boxes are near, until no two are."""
+
+    def work(boxes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        boxes = boxes.sort_values("cluster")
+        names, tol = boxes["cluster"].to_numpy(), np.array(list(within.values()))
+        lo, hi = (boxes[[f"{e}_{c}" for c in within]].to_numpy(np.float64, copy=True) for e in ("lo", "hi"))
+        u, v = (np.searchsorted(names, pairs[n].to_numpy()) for n in "uv")
+        root = np.arange(len(names))
+        while (near := ((lo[u] - hi[v] <= tol) & (lo[v] - hi[u] <= tol)).all(1)).any():
+            moved = _union(u[near], v[near])
+            at, to = (np.fromiter(n, np.int64, len(moved)) for n in (moved.keys(), moved.values()))
+            np.minimum.at(lo, to, lo[at])
+            np.maximum.at(hi, to, hi[at])
+            now = np.arange(len(names))
+            now[at] = to
+            root, u, v = now[root], now[u], now[v]
+            u, v = u[u != v], v[u != v]
+        own = root != np.arange(len(names))
+        return pd.DataFrame({"image_id": boxes["image_id"].iloc[0], "node": names[own], "root": names[root[own]]})
+
+    return work
+
+
 def merge_clusters(models: DataFrame, pairs: DataFrame, within: dict[str, float]) -> DataFrame | None:
     """image_id, label, cluster of the regions that could merge at all; None if none could. models, pairs: stored tables.
 
     Regions merge only if the models of two regions of theirs are within the tolerances (column to tolerance). So clusters grow from single
     regions: two that touch are joined if the boxes around their models are that near in every column, until no two are. What ordered merging
-    does in one cluster depends on no other.
+    does in one cluster depends on no other. Boxes only grow, so the order in which clusters are joined doesn't matter: many pairs are joined by rounds over
+    the whole table, and once UNION_PAIRS or fewer are left, which may take hundreds of rounds more, picture by picture.
     """
     member, joined = models.select("image_id", "label", F.col("label").alias("cluster")), False
-    pairs = pairs.select("image_id", "u", "v").where("u < v").unionByName(pairs.where("u > v").select("image_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    while True:
+    open_ = pairs.select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    open_ = stored(open_, "open")
+    while left := open_.count():
         held = models.join(member, ["image_id", "label"]) if joined else models.withColumn("cluster", F.col("label"))
         boxes = held.groupBy("image_id", "cluster").agg(*(f(c).alias(f"{e}_{c}") for c in within for e, f in (("lo", F.min), ("hi", F.max))))
-        near = pairs
-        for n in "uv":
-            if joined:
-                of = member.select("image_id", F.col("label").alias(n), F.col("cluster").alias(f"_{n}"))
-                near = near.join(of, ["image_id", n]).drop(n).withColumnRenamed(f"_{n}", n)
-        near = near.where("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        for n in "uv":
-            side = boxes.select("image_id", F.col("cluster").alias(n), *(F.col(f"{e}_{c}").alias(f"{e}_{c}_{n}") for c in within for e in ("lo", "hi")))
-            near = near.join(side, ["image_id", n])
-        for c, tol in within.items():
-            near = near.where((F.col(f"lo_{c}_u") - F.col(f"hi_{c}_v") <= tol) & (F.col(f"lo_{c}_v") - F.col(f"hi_{c}_u") <= tol))
-        near = stored(near.select("image_id", "u", "v"), "near")
-        count = near.count()
-        if not count:
+        few = left <= UNION_PAIRS
+        if few:
+            ends = open_.select("image_id", F.col("u").alias("cluster")).unionByName(open_.select("image_id", F.col("v").alias("cluster"))).distinct()
+            boxes = boxes.join(ends, ["image_id", "cluster"], "left_semi")
+            roots = boxes.groupBy("image_id").cogroup(open_.groupBy("image_id")).applyInPandas(_boxed(within), _MOVED)
+        else:
+            near = open_
+            for n in "uv":
+                side = boxes.select("image_id", F.col("cluster").alias(n), *(F.col(f"{e}_{c}").alias(f"{e}_{c}_{n}") for c in within for e in ("lo", "hi")))
+                near = near.join(side, ["image_id", n])
+            for c, tol in within.items():
+                near = near.where((F.col(f"lo_{c}_u") - F.col(f"hi_{c}_v") <= tol) & (F.col(f"lo_{c}_v") - F.col(f"hi_{c}_u") <= tol))
+            roots = star_closure(stored(near.select("image_id", "u", "v"), "near"))
+        roots = stored(roots.select("image_id", F.col("node").alias("cluster"), F.col("root").alias("_r")), "roots")
+        if roots.isEmpty():
             break
-        # few pairs of numbers are joined picture by picture, many by rounds over the whole table
-        roots = near.groupBy("image_id").applyInPandas(_joined, _MOVED) if count <= UNION_PAIRS else star_closure(near)
-        roots = roots.select("image_id", F.col("node").alias("cluster"), F.col("root").alias("_r"))
         member = stored(member.join(roots, ["image_id", "cluster"], "left").select("image_id", "label", F.coalesce("_r", "cluster").cast("int").alias("cluster")), "members")
         joined = True
+        if few:
+            break
+        for n in "uv":
+            now = roots.select("image_id", F.col("cluster").alias(n), F.col("_r").alias(f"_{n}"))
+            open_ = open_.join(now, ["image_id", n], "left").withColumn(n, F.coalesce(f"_{n}", n)).drop(f"_{n}")
+        open_ = stored(open_.where("u <> v").select("image_id", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "open")
     if not joined:
         return None
     several = member.groupBy("image_id", "cluster").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("image_id", "cluster")
@@ -398,7 +428,7 @@ def merge_planes(labels: DataFrame, planes: DataFrame, lab: DataFrame, tol: floa
         new = _renumbered(planes.join(touched, "image_id", "left_semi").select("image_id", "label"), mapped)
         moved = labels.join(new, ["image_id", "label"]).select(*KEY, F.col("new").alias("label"))
         labels = stored(moved.unionByName(labels.join(touched, "image_id", "left_anti").select(*KEY, "label")), "merged")
-        fitted = component_planes(labels.join(touched, "image_id", "left_semi").join(lab, list(KEY))).select("image_id", "label", "cy", "cx", *fit)
+        fitted = component_planes(labels.join(touched, "image_id", "left_semi").join(shuffled(lab), list(KEY))).select("image_id", "label", "cy", "cx", *fit)
         names = new.select("image_id", F.col("new").alias("label")).distinct()
         fitted = names.join(fitted, ["image_id", "label"], "left").na.fill(0.0)
         planes = stored(fitted.unionByName(planes.join(touched, "image_id", "left_anti")), "planes")

@@ -33,7 +33,7 @@ def pixels_broadcast(plan: str) -> bool:
     return bool(re.search(r"BroadcastHashJoin \[image_id#\d+, y#\d+, x#\d+\]", plan))
 
 
-@pytest.mark.parametrize("kind", ["means"])
+@pytest.mark.parametrize("kind", ["means", "planes"])
 def test_merging_broadcasts_no_pixels(spark, plans, kind):
     label = np.repeat(np.arange(4), 5)[None, :].repeat(6, 0)
     lab = np.stack([np.take([10.0, 10.8, 11.2, 30.0], label)] * 3, -1)
@@ -45,3 +45,19 @@ def test_merging_broadcasts_no_pixels(spark, plans, kind):
         got = regions.merge_planes(labels, regions.component_planes(held), colours, 1.0, 0.5)
     plans += [plan_of(df) for df in got]
     assert any("SortMergeJoin [image_id" in p for p in plans) and not any(map(pixels_broadcast, plans))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_clusters_of_a_long_chain(spark, monkeypatch, plans, limit):
+    """Boxes that grow link by link: as many rounds of jobs as links before, one now; and the same clusters by rounds over the table."""
+    monkeypatch.setattr(regions, "UNION_PAIRS", limit)
+    n = 12 if limit else 5
+    # every other region lies beside the one before; the rest comes within reach only as the box grows
+    rows = [("p", i, float(-i if i % 2 else i)) for i in range(n)] + [("p", n, 900.0)]
+    models = stored(spark.createDataFrame(rows, "image_id string, label int, m double"), "t")
+    links = [("p", 0, 0, i) for i in range(1, n + 1)]
+    pairs = stored(spark.createDataFrame(links, "image_id string, phase int, u int, v int"), "t")
+    plans.clear()
+    got = regions.merge_clusters(models, pairs, {"m": 2.0})
+    assert sorted((r["label"], r["cluster"]) for r in got.collect()) == [(i, 0) for i in range(n)]
+    assert not limit or len(plans) < 6
