@@ -7,6 +7,7 @@ import pytest
 
 from rasterloom.model import KEY, LAB
 from rasterloom.operators import regions
+from rasterloom.queries import QUERIES
 from rasterloom.storage import stored
 
 from .test_raster import lab_field
@@ -61,3 +62,8 @@ def test_clusters_of_a_long_chain(spark, monkeypatch, plans, limit):
     got = regions.merge_clusters(models, pairs, {"m": 2.0})
     assert sorted((r["label"], r["cluster"]) for r in got.collect()) == [(i, 0) for i in range(n)]
     assert not limit or len(plans) < 6
+
+
+def test_png_roundtrip_broadcasts_no_pixels(spark):
+    plan = plan_of(QUERIES["png_roundtrip"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin [image_id" in plan and not pixels_broadcast(plan)
