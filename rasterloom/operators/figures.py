@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import KEY
-from .stencil import dims
+from ..storage import shuffled, with_facts
+from .stencil import dims, with_dims
 
 
 def crop(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
@@ -28,27 +29,27 @@ def zoom(df: DataFrame, k: int) -> DataFrame:
 def beside(left: DataFrame, right: DataFrame, gap: int = 12) -> DataFrame:
     """Two pictures side by side on white."""
     at = dims(left).select("image_id", (F.col("_w") + gap).alias("_dx"))
-    moved = right.join(at, "image_id").withColumn("x", F.col("x") + F.col("_dx")).drop("_dx")
+    moved = with_facts(right, at).withColumn("x", F.col("x") + F.col("_dx")).drop("_dx")
     return on_white(left.unionByName(moved))
 
 
 def below(top: DataFrame, bottom: DataFrame, gap: int = 16) -> DataFrame:
     """Two pictures one above the other on white."""
     at = dims(top).select("image_id", (F.col("_h") + gap).alias("_dy"))
-    moved = bottom.join(at, "image_id").withColumn("y", F.col("y") + F.col("_dy")).drop("_dy")
+    moved = with_facts(bottom, at).withColumn("y", F.col("y") + F.col("_dy")).drop("_dy")
     return on_white(top.unionByName(moved))
 
 
 def on_white(df: DataFrame) -> DataFrame:
     """A dense grid: places without a pixel are opaque white."""
     grid = dims(df).withColumn("y", F.explode(F.expr("sequence(0, _h - 1)"))).withColumn("x", F.explode(F.expr("sequence(0, _w - 1)")))
-    filled = grid.select(*KEY).join(df.select(*KEY, *"rgba"), list(KEY), "left")
+    filled = grid.select(*KEY).join(shuffled(df.select(*KEY, *"rgba")), list(KEY), "left")
     return filled.select(*KEY, *(F.coalesce(c, F.lit(255)).cast("int").alias(c) for c in "rgba"))
 
 
 def downscale(df: DataFrame, height: int, lobes: int = 3) -> DataFrame:
     """Opaque pictures reduced to at most that height by a separable Lanczos filter; smaller ones stay."""
-    held = df.join(dims(df), "image_id").withColumn("_s", F.least(F.lit(1.0), F.lit(float(height)) / F.col("_h")))
+    held = with_dims(df).withColumn("_s", F.least(F.lit(1.0), F.lit(float(height)) / F.col("_h")))
     for axis, n in (("x", "_w"), ("y", "_h")):
         other = "y" if axis == "x" else "x"
         m = F.greatest(F.lit(1), F.floor(F.col(n) * F.col("_s"))).cast("int")

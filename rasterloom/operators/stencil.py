@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import KEY, LAB
+from ..storage import with_facts
 from .bands import dealt_tiles, plane
 
 
@@ -25,6 +26,11 @@ def dims(df: DataFrame) -> DataFrame:
     return df.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
 
 
+def with_dims(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df plus _h, _w of its pictures, or of those in `of`."""
+    return with_facts(df, dims(df if of is None else of))
+
+
 def _reflected(i: str, n: str, r: int) -> Column:
     """All places in [-r, n - 1 + r] that mirror to i (edges are not repeated)."""
     return F.expr(f"""case when {n} = 1 then sequence(-{r}, {r}) else array_distinct(filter(flatten(transform(
@@ -48,7 +54,7 @@ def _pass(df: DataFrame, axis: str, r: int, pad, aggs: dict[str, Column]) -> Dat
 
 def box_sums(df: DataFrame, cols: Sequence[str], r: int) -> DataFrame:
     """df plus `<c>_sum`: sums over (2r+1)^2 windows, reflected at the edges. df: a dense grid without nulls in cols."""
-    out = df.join(dims(df), "image_id")
+    out = with_dims(df)
     out = _pass(out, "x", r, _reflected, {f"_h_{c}": F.sum(F.col(c).cast("double")) for c in cols})
     out = _pass(out, "y", r, _reflected, {f"{c}_sum": F.sum(f"_h_{c}") for c in cols})
     return out.drop("_h", "_w", *(f"_h_{c}" for c in cols))

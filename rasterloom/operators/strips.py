@@ -22,7 +22,7 @@ from ..functions.color import KNEE, LUMA, RGB_TO_XYZ, WHITE, XYZ_TO_RGB
 from ..model import INTERIOR_ALPHA, MIN_ALPHA, PIXELS, STRAY_ALPHA, Options
 from .bilateral import taps
 from .metrics import auto_radius
-from .stencil import dims
+from .stencil import with_dims
 
 BAND = 64
 STRIPS = "image_id string, band int, h int, w int, data binary"
@@ -32,7 +32,7 @@ BLOCK = 32768
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
     """Strips of a dense pixel relation."""
-    dealt = pixels.select("image_id", "y", "x", *"rgba").withColumn("band", F.expr(f"y div {BAND}")).join(dims(pixels), "image_id")
+    dealt = with_dims(pixels.select("image_id", "y", "x", *"rgba")).withColumn("band", F.expr(f"y div {BAND}"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         band, h, w = (int(part[c].iloc[0]) for c in ("band", "_h", "_w"))

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 
 from rasterloom.model import KEY, LAB
-from rasterloom.operators import regions
+from rasterloom.operators import metrics, regions
 from rasterloom.queries import QUERIES
-from rasterloom.storage import stored
+from rasterloom.storage import stored, with_facts
 
 from .test_raster import lab_field
 
@@ -67,3 +67,37 @@ def test_clusters_of_a_long_chain(spark, monkeypatch, plans, limit):
 def test_png_roundtrip_broadcasts_no_pixels(spark):
     plan = plan_of(QUERIES["png_roundtrip"](spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin [image_id" in plan and not pixels_broadcast(plan)
+
+
+SOLO = re.compile(r"hashpartitioning\(image_id#\d+, \d+\)")
+
+
+@pytest.fixture
+def unsized(spark):
+    """Every table counts as too large to be broadcast unasked."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_metrics_keep_no_picture_in_one_task(spark, unsized, monkeypatch):
+    seen = []
+
+    def noted(df, name):
+        seen.append((name, plan_of(df)))
+        return stored(df, name)
+
+    monkeypatch.setattr(metrics, "stored", noted)
+    QUERIES["image_metrics"](spark, DIR)
+    assert [n for n, _ in seen] == ["pairs", "measured"] and not any(SOLO.search(p) for _, p in seen)
+
+
+def test_facts_of_many_pictures_come_without_broadcast(spark, unsized):
+    df = spark.range(3000).selectExpr("concat('p', id % 3) image_id", "cast(id div 30 as int) y", "cast(id % 30 as int) x")
+    facts = spark.createDataFrame([(f"p{i}", i * 10) for i in range(3)], "image_id string, f int")
+    got = with_facts(df, facts, few=2)
+    assert got.columns == ["image_id", "y", "x", "f"] and got.count() == 3000 and not got.where("f <> 10 * cast(substring(image_id, 2) as int)").count()
+    assert "Broadcast" not in plan_of(got) and not SOLO.search(plan_of(got))
