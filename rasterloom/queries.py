@@ -308,7 +308,7 @@ _SMOOTH_IN = f"{PX}, {DIM}, u as (select *, a >= 24 valid from px), {_lab_sql('l
 @query(f"with {_SMOOTH_IN}, {_smooth_sql('s', 'lab', '3', 1)} select image_id, y, x, {_r(['s.' + c for c in LAB])} from s join px using (y, x)")
 def bilateral_r3_s1(spark, d):
     held = plan.prepare(fixtures.raster(spark, d)).where("valid")
-    return rounded(bilateral.smooth_relational(held, 3, 1.5, 1), *LAB)
+    return rounded(bilateral.smooth_tiles(held, 3, 1.5, 1), *LAB)
 
 
 @query(f"with {_SMOOTH_IN}, {_smooth_sql('s', 'lab', '4', 2)} select image_id, y, x, {_r(['s.' + c for c in LAB])} from s join px using (y, x)")

@@ -6,11 +6,11 @@ import numpy as np
 import pytest
 
 from rasterloom.model import KEY, LAB
-from rasterloom.operators import metrics, regions
+from rasterloom.operators import bilateral, metrics, regions
 from rasterloom.queries import QUERIES
 from rasterloom.storage import stored, with_facts
 
-from .test_raster import lab_field
+from .test_raster import grid, lab_field
 
 
 def plan_of(df) -> str:
@@ -101,3 +101,26 @@ def test_facts_of_many_pictures_come_without_broadcast(spark, unsized):
     got = with_facts(df, facts, few=2)
     assert got.columns == ["image_id", "y", "x", "f"] and got.count() == 3000 and not got.where("f <> 10 * cast(substring(image_id, 2) as int)").count()
     assert "Broadcast" not in plan_of(got) and not SOLO.search(plan_of(got))
+
+
+def test_few_taps_move_pixels_once(spark):
+    """29 taps were 29 rows a pixel."""
+    plan = plan_of(QUERIES["bilateral_r3_s1"](spark, DIR))
+    assert "Join" not in plan and "FlatMapGroupsInPandas" in plan
+
+
+@pytest.mark.parametrize("shape,tile", [((20, 33), 8), ((7, 9), 96), ((16, 40), 16)])
+def test_tiles_equal_direct_sums(spark, shape, tile):
+    """Pixels that aren't valid too: they get a value from valid ones that are near, or keep theirs; tiles are cut to the picture."""
+    rng = np.random.default_rng(3)
+    lab, ok = rng.normal(50, 2, (*shape, 3)), rng.random(shape) > 0.3
+    df = lab_field(spark, lab, valid=ok)
+    got = grid(bilateral.smooth_tiles(df, 3, 1.5, tile=tile), LAB, shape)
+    for y, x in np.ndindex(shape):
+        total, weight = np.zeros(3), 0.0
+        for dy, dx, space in bilateral.taps(3):
+            q = y + dy, x + dx
+            if 0 <= q[0] < shape[0] and 0 <= q[1] < shape[1] and ok[q]:
+                w = np.exp(-((lab[y, x] - lab[q]) ** 2).sum() / 4.5) * space
+                total, weight = total + w * lab[q], weight + w
+        assert np.allclose(got[y, x], total / weight if weight >= 0.5 else lab[y, x])
