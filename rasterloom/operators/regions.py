@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import KEY, LAB
-from ..storage import shuffled, stored
+from ..storage import shuffled, stored, with_facts
 from .bands import dealt_bands, plane
 
 _NODE = 1 << 32  # a run is the number y * _NODE + x0, so the least node of a region is its first run in raster order
@@ -236,7 +236,7 @@ def grow(df: DataFrame, models: DataFrame, tol: float, planes: bool, rounds: int
     turns = size.select("image_id", "_n", F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("born")).join(added, ["image_id", "born"], "left")
     ends = turns.where("coalesce(_k, 0) < 0.001 * _n or coalesce(_k, 0) = 0").groupBy("image_id").agg(F.min("born").alias("_end"))
     ends = size.join(ends, "image_id", "left").select("image_id", F.coalesce("_end", F.col("_most") + 1).alias("_end"))
-    return grown.join(ends, "image_id").where("born < _end").select(*KEY, "label")
+    return with_facts(grown, ends).where("born < _end").select(*KEY, "label")
 
 
 def neighbour_pairs(labels: DataFrame) -> DataFrame:
