@@ -14,7 +14,7 @@ from ..operators.bilateral import smooth
 from ..operators.metrics import auto_radius as radius_of
 from ..operators.metrics import robust_sigma
 from ..operators.quantiles import exact_quantiles
-from ..storage import stored
+from ..storage import shuffled, stored, with_facts
 
 
 def prepare(pixels: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def snap(lab: DataFrame, radius: int, opts: Options) -> tuple[DataFrame, DataFra
         mask = stencil.close_mask(mask, "flat", opts.close_radius, "flat")
     mask = stored(stencil.erode(mask, "flat", opts.aa_band, "flat"), "flat")
     labels = stored(regions.label_components(mask, "flat"), "labels")
-    labelled = lab.join(labels, list(KEY))
+    labelled = lab.join(shuffled(labels), list(KEY))
     planes = opts.snap_mode == "plane"
     models = stored(regions.component_planes(labelled) if planes else regions.component_means(labelled), "models")
     good = models.where(F.col("size") >= opts.min_block)
@@ -47,7 +47,7 @@ def snap(lab: DataFrame, radius: int, opts: Options) -> tuple[DataFrame, DataFra
         good = good.join(limit, "image_id").where("rms <= _limit")
     good = stored(good.select("image_id", "label"), "seeds")
     seeds = labelled.where("valid").join(good, ["image_id", "label"], "left_semi").select(*KEY, "label")
-    field = stored(lab.select(*KEY, *LAB).join(seeds, list(KEY), "left"), "field")
+    field = stored(lab.select(*KEY, *LAB).join(shuffled(seeds), list(KEY), "left"), "field")
     # a picture without a seed is left as it is
     models = models.join(good.select("image_id").distinct(), "image_id", "left_semi")
     grown = stored(regions.grow(field, models, opts.snap_tol, planes), "grown")
@@ -59,7 +59,7 @@ def snap(lab: DataFrame, radius: int, opts: Options) -> tuple[DataFrame, DataFra
         grown, fitted = regions.merge_means(grown, models, plain, opts.merge_tol)
         paint = grown.join(fitted, ["image_id", "label"]).select(*KEY, *(F.col(f"m_{c}").alias(c) for c in LAB))
     paint = paint.select(*KEY, *(F.col(c).alias(f"p_{c}") for c in LAB))
-    out = lab.join(paint, list(KEY), "left").select(*KEY, *(F.coalesce(f"p_{c}", c).alias(c) for c in LAB))
+    out = lab.join(shuffled(paint), list(KEY), "left").select(*KEY, *(F.coalesce(f"p_{c}", c).alias(c) for c in LAB))
     counts = fitted.groupBy("image_id").agg(F.count(F.lit(1)).alias("snapped_blocks"))
     counts = grown.groupBy("image_id").agg(F.count(F.lit(1)).alias("snapped_px")).join(counts, "image_id")
     return out, counts.select("image_id", "snapped_px", "snapped_blocks")
@@ -71,10 +71,10 @@ def _clean_at(pixels: DataFrame, radius: int, opts: Options, strategy: str) -> t
         smoothed, snapped = smooth(held.where("valid"), radius, opts.sigma_range, opts.stride, strategy), None
     else:
         smoothed = smooth(held, radius, opts.sigma_range, opts.stride, strategy)
-        smoothed = stored(held.select(*KEY, "valid").join(smoothed, list(KEY)), "smoothed")
+        smoothed = stored(held.select(*KEY, "valid").join(shuffled(smoothed), list(KEY)), "smoothed")
         smoothed, snapped = snap(smoothed, radius, opts)
     shown = color.with_srgb(smoothed).select(*KEY, *(color.to_byte(F.col(f"s{c}")).alias(f"n_{c}") for c in "rgb"))
-    out = held.drop(*LAB).join(shown, list(KEY), "left")
+    out = held.drop(*LAB).join(shuffled(shown), list(KEY), "left")
     out = out.select(*KEY, *(F.when(F.col("valid"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in "rgb"), "a")
     out = alpha.apply_alpha(alpha.alpha_flags(out), opts.alpha_mode).drop("interior", "stray")
     if opts.alpha_mode == "flatten":
@@ -83,27 +83,33 @@ def _clean_at(pixels: DataFrame, radius: int, opts: Options, strategy: str) -> t
 
 
 def clean(pixels: DataFrame, opts: Options | None = None, strategy: str = "auto") -> DataFrame:
-    """Cleaned pixels (image_id, y, x, r, g, b, a)."""
-    return clean_with_info(pixels, opts, strategy)[0]
+    """Cleaned pixels (image_id, y, x, r, g, b, a). Nothing is measured for an info row."""
+    return _cleaned(pixels, opts or Options(), strategy)[0]
 
 
 def clean_with_info(pixels: DataFrame, opts: Options | None = None, strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
-    """(cleaned pixels, one info row per picture). Pictures are grouped by radius where it is automatic."""
+    """(cleaned pixels, one info row per picture)."""
     opts = opts or Options()
+    done, snapped = _cleaned(pixels, opts, strategy)
+    return done, info(pixels, opts, None if opts.radius is None else F.lit(opts.radius), snapped)
+
+
+def _cleaned(pixels: DataFrame, opts: Options, strategy: str) -> tuple[DataFrame, DataFrame | None]:
+    """(cleaned pixels, counts of snapped ones). Pictures are grouped by radius where it is automatic."""
     if opts.radius is not None:
-        done, snapped = _clean_at(pixels, opts.radius, opts, strategy)
-        return done, info(pixels, opts, F.lit(opts.radius), snapped)
-    sized = pixels.join(stencil.dims(pixels), "image_id").withColumn("_radius", radius_of(F.col("_w"), F.col("_h")))
+        return _clean_at(pixels, opts.radius, opts, strategy)
+    sizes = stored(stencil.dims(pixels).select("image_id", radius_of(F.col("_w"), F.col("_h")).alias("_radius")), "sizes")
     done = snapped = None
-    by_radius = sorted(r[0] for r in sized.select("_radius").distinct().collect())  # 3 to 24: at most 22 numbers, however many pictures
+    by_radius = sorted(r[0] for r in sizes.select("_radius").distinct().collect())  # 3 to 24: at most 22 numbers, however many pictures
+    sized = pixels if len(by_radius) == 1 else with_facts(pixels, sizes)
     for radius in by_radius:
         part = sized if len(by_radius) == 1 else sized.where(F.col("_radius") == radius)
-        got, more = _clean_at(part.drop("_w", "_h", "_radius"), radius, replace(opts, radius=radius), strategy)
+        got, more = _clean_at(part.drop("_radius"), radius, replace(opts, radius=radius), strategy)
         done = got if done is None else done.unionByName(got)
         snapped = more if snapped is None else snapped.unionByName(more)
     if done is None:
         done = pixels.select(*KEY, *"rgba")
-    return done, info(pixels, opts, None, snapped)
+    return done, snapped
 
 
 def info(pixels: DataFrame, opts: Options, radius=None, snapped: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 
 from rasterloom.model import KEY, LAB
 from rasterloom.operators import bilateral, metrics, regions
+from rasterloom.plans import clean
 from rasterloom.queries import QUERIES
 from rasterloom.storage import stored, with_facts
 
@@ -124,3 +125,18 @@ def test_tiles_equal_direct_sums(spark, shape, tile):
                 w = np.exp(-((lab[y, x] - lab[q]) ** 2).sum() / 4.5) * space
                 total, weight = total + w * lab[q], weight + w
         assert np.allclose(got[y, x], total / weight if weight >= 0.5 else lab[y, x])
+
+
+def test_growth_keeps_no_picture_in_one_task(spark, unsized):
+    plan = plan_of(QUERIES["grow_labels"](spark, DIR))
+    assert "BroadcastHashJoin [image_id" in plan and not SOLO.search(plan)
+
+
+def test_clean_keeps_no_picture_in_one_task_and_measures_nothing(spark, unsized, monkeypatch):
+    monkeypatch.setattr(clean, "info", None)
+    assert not SOLO.search(plan_of(QUERIES["clean_default"](spark, DIR)))
+
+
+def test_flat_mask_keeps_no_picture_in_one_task(spark, unsized):
+    """A step of snap."""
+    assert not SOLO.search(plan_of(QUERIES["flat_mask"](spark, DIR)))
